@@ -116,7 +116,7 @@ def q(final: str) -> str:
     order = [n for n in CTES if n in used]
     if not order:
         return final
-    return "WITH RECURSIVE " + ",\n".join(f"{n} AS ({CTES[n]})" for n in order) + "\n" + final
+    return "WITH RECURSIVE " + ",\n".join(f"{n} AS {'MATERIALIZED ' if n.startswith('succ') else ''}({CTES[n]})" for n in order) + "\n" + final
 
 
 for _name, _text in V.VIEWS.items():
@@ -154,7 +154,7 @@ for _s, _k in (("", []), ("_acc", ["account"])):
     _g = _k[0] if _k else "0"
     cte(f"daily{_s}", f"SELECT *, (cost_nano+50000)//100000 AS cost_e4 FROM (SELECT {g(_k)} date, {tsums()} FROM u {group(_k, 'date')})")
     cte(f"points{_s}", f"SELECT DISTINCT {_g} AS g, timestamp AS ts FROM usage_all")
-    cte(f"succ{_s}", f"SELECT p.g, p.ts, n.ts AS nx FROM points{_s} p ASOF JOIN points{_s} n ON p.g = n.g AND n.ts >= p.ts + INTERVAL 5 HOUR")
+    cte(f"succ{_s}", f"SELECT * FROM (SELECT g, ts, min(ts) OVER (PARTITION BY g ORDER BY ts RANGE BETWEEN INTERVAL 5 HOUR FOLLOWING AND UNBOUNDED FOLLOWING) AS nx FROM points{_s}) WHERE nx IS NOT NULL")
     cte(f"starts{_s}", f"""SELECT g, min(ts) AS ts FROM points{_s} GROUP BY g
       UNION ALL SELECT n.g, n.nx FROM starts{_s} s JOIN succ{_s} n ON n.g = s.g AND n.ts = s.ts""")
     cte(f"wins{_s}", f"""SELECT *, (cost_nano+50000)//100000 AS cost_e4 FROM (
