@@ -121,8 +121,8 @@ def window_baseline(usage: DataFrame, *, as_of, keys=(), windows=None) -> DataFr
 
 def _with_progress(state: DataFrame, as_of) -> DataFrame:
     """Add elapsed and remaining time of the last window; negative elapsed counts as 0."""
-    elapsed = F.greatest(S.micros(C.as_ts(as_of)) - F.col("w_start_us"), F.lit(0).cast("bigint"))
-    s = state.withColumn("elapsed_us", elapsed)
+    since = S.micros(C.as_ts(as_of)) - F.col("w_start_us")          # NULL without any window
+    s = state.withColumn("elapsed_us", F.when(since < 0, F.lit(0).cast("bigint")).otherwise(since))
     s = s.withColumn("active", F.coalesce(F.col("elapsed_us") < WINDOW_US, F.lit(False)))
     remaining = X.idiv(F.lit(WINDOW_US) - F.col("elapsed_us"), 1_000_000)
     # Rates need more than a minute of data.

@@ -14,12 +14,16 @@ LIVE_SECONDS = 120
 
 
 def _window_sums(usage: DataFrame, as_of, keys) -> DataFrame:
-    """Cost per key and look-back window from one pass of conditional sums."""
+    """Cost per key and look-back window from one pass of conditional sums. Without keys
+    only the longest window is read; with keys idle ones keep their zero rows."""
+    e = enrich(usage)
+    if not keys:
+        e = C.since(e, C.hours_before(as_of, max(h for _, h in C.BURN_WINDOWS)))
     aggs = [
         F.coalesce(F.sum(F.when(F.col("timestamp") >= C.hours_before(as_of, h), F.col("cost_nano"))), F.lit(0)).alias("b_" + str(h))
         for _, h in C.BURN_WINDOWS
     ]
-    wide = enrich(usage).groupBy(*keys).agg(*aggs)
+    wide = e.groupBy(*keys).agg(*aggs)
     rows = F.array(
         *[F.struct(F.lit(l).alias("window_hours"), F.lit(h).cast("bigint").alias("hours_e4"), F.col("b_" + str(h)).alias("nano")) for l, h in C.BURN_WINDOWS]
     )
@@ -34,7 +38,7 @@ def burn_rates_by_hours(usage: DataFrame, *, as_of, keys=()) -> DataFrame:
 def burn_by_model(usage: DataFrame, *, as_of, keys=()) -> DataFrame:
     """Burn per model and look-back window with its share; below one cent per hour drops out."""
     longest = max(h for _, h in C.BURN_WINDOWS)
-    recent = enrich(usage).where(F.col("timestamp") >= C.hours_before(as_of, longest))
+    recent = C.since(enrich(usage), C.hours_before(as_of, longest))
     sums = _window_sums(recent.withColumn("model_id", S.or_unknown("model")), as_of, [*keys, "model_id"])
     total = F.sum("nano").over(Window.partitionBy(*keys, "window_hours"))
     kept = sums.withColumn("_total", total).where(F.col("nano") * 10_000 >= F.col("hours_e4") * F.lit(X.NANO_PER_CENT))
@@ -46,7 +50,7 @@ def burn_by_model(usage: DataFrame, *, as_of, keys=()) -> DataFrame:
 
 
 def recent_costs(usage: DataFrame, *, as_of, keys=(), hours: int = 6) -> DataFrame:
-    recent = enrich(usage).where(F.col("timestamp") >= C.hours_before(as_of, hours * 10_000))
+    recent = C.since(enrich(usage), C.hours_before(as_of, hours * 10_000))
     minute = F.date_trunc("minute", "timestamp").cast("timestamp_ntz").alias("minute")
     return recent.groupBy(*keys, minute).agg(X.usd4(F.sum("cost_nano")).alias("cost"))
 
@@ -67,7 +71,7 @@ def live_active_models(usage: DataFrame, *, as_of, keys=(), minutes=LIVE_MINUTES
     only those sums are copied to the wider windows.
     """
     cuts = sorted(minutes)
-    recent = enrich(usage).where(F.col("timestamp") >= C.hours_before(as_of, 0) - F.make_dt_interval(mins=F.lit(cuts[-1])))
+    recent = C.since(enrich(usage), C.as_ts(as_of) - F.make_dt_interval(mins=F.lit(cuts[-1])))
     ring = F
     for i, m in enumerate(cuts):
         ring = ring.when(F.col("timestamp") >= C.as_ts(as_of) - F.make_dt_interval(mins=F.lit(m)), i)

@@ -40,6 +40,20 @@ def hours_before(as_of, hours_e4: int) -> Column:
     return as_ts(as_of) - F.make_dt_interval(secs=F.lit(us / 1e6).cast("decimal(18,6)"))
 
 
+def since(df: DataFrame, cutoff: Column) -> DataFrame:
+    """Rows from `cutoff` on. The date predicate lets a table partitioned by date skip
+    the partitions before it."""
+    recent = F.col("timestamp") >= cutoff
+    if "date" in df.columns:
+        recent = (F.col("date") >= F.to_date(cutoff)) & recent
+    return df.where(recent)
+
+
+def maybe_broadcast(df: DataFrame, max_rows: int = 200_000) -> DataFrame:
+    """Broadcast `df` if a bounded count shows it is small, else leave the join to the planner."""
+    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+
+
 def record_order() -> Column:
     return F.struct(*RECORD_ORDER)
 

@@ -39,14 +39,13 @@ def commit_cost(
         "slice", F.explode(F.sequence(_slot(F.col("us") - reach), _slot(F.col("us"))))
     )
     by = [*keys, "project_dir", "slice"]
-    floor = S.micros(C.hours_before(as_of, (since_days * 24 + max_hours) * 10_000))
+    floor = C.hours_before(as_of, (since_days * 24 + max_hours) * 10_000)
     rows = (
-        enrich(usage)
+        C.since(enrich(usage), floor)
         .where(F.coalesce("project_dir", F.lit("")) != "")
         .select(*keys, "project_dir", at.alias("us"), "session_id", "total_tokens", "cost_nano")
-        .where(F.col("us") > floor)
         .withColumn("slice", _slot(F.col("us")))
-        .join(points.select(*by).distinct(), by, "left_semi")
+        .join(C.maybe_broadcast(points.select(*by).distinct()), by, "left_semi")
         .withColumn("rec_us", F.col("us"))
     )
     value = F.struct("us", "commit")

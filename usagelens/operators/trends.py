@@ -114,7 +114,7 @@ def _active_slots(usage: DataFrame, keys) -> DataFrame:
 
 
 def active_hours_base(usage: DataFrame, *, as_of, keys=(), days: int = 7, where=None) -> DataFrame:
-    recent = usage.where(F.col("timestamp") >= C.hours_before(as_of, days * 240_000))
+    recent = C.since(usage, C.hours_before(as_of, days * 240_000))
     if where is not None:
         recent = recent.where(where)
     slots = _active_slots(recent, keys)
@@ -169,7 +169,7 @@ def burn_rate_timeseries(usage: DataFrame, *, as_of, keys=(), widths=SERIES_WIDT
     age = end_us - S.micros("timestamp")
     # The bar edges belong to the later bar, except as_of itself, which closes the last one.
     back = F.when(age == 0, 0).otherwise(F.call_function("div", age - 1, F.lit(C.US_PER_HOUR)))
-    recent = enrich(usage).where((age >= 0) & (age <= hours * C.US_PER_HOUR))
+    recent = C.since(enrich(usage), C.hours_before(as_of, hours * 10_000)).where(age >= 0)
     hourly = recent.groupBy(*keys, back.cast("int").alias("_back")).agg(
         F.sum("cost_nano").alias("cost_nano"), F.sum("total_tokens").alias("tokens"), F.count(F.lit(1)).alias("records")
     )

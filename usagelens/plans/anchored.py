@@ -98,20 +98,26 @@ def _chase(points: DataFrame, keys, rounds: int) -> DataFrame:
     return orbit.withColumnRenamed("t", "start_us")
 
 
-def window_starts(usage: DataFrame, keys=(), fold_limit: int = FOLD_LIMIT) -> DataFrame:
-    """One row (keys, start_us) per anchored window. Runs one small size check."""
-    keys = list(keys)
+# Up to this many windows the start table is sent to every task instead of shuffling records.
+BROADCAST_WINDOWS = 200_000
+
+
+def _starts(usage: DataFrame, keys, fold_limit: int) -> tuple[DataFrame, int]:
+    """Starts and an upper bound of their number, from one small size check."""
     points = usage.select(*keys, micros("timestamp").alias("us")).withColumn("cell", slot("us", WINDOW_US))
     islands = _islands(points, keys)
     sizes = islands.groupBy(*keys, "island").agg(
         F.sum("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi")
     )
     over = F.col("n") > fold_limit
+    span = F.col("hi") - F.col("lo")
+    # Starts of an island are a window apart.
+    windows = F.call_function("div", span, F.lit(WINDOW_US)) + 1
     check = sizes.agg(
-        F.count_if(over).alias("hot"), F.max(F.when(over, F.col("hi") - F.col("lo"))).alias("span")
+        F.count_if(over).alias("hot"), F.max(F.when(over, span)).alias("span"), F.coalesce(F.sum(windows), F.lit(0)).alias("windows")
     ).first()
     if not check["hot"]:
-        return _fold(points, keys)
+        return _fold(points, keys), check["windows"]
     rounds = max(1, math.ceil(math.log2(check["span"] // WINDOW_US + 2)))
     marked = islands.join(sizes.select(*keys, "island", over.alias("_hot")), [*keys, "island"])
     marked = marked.select(*keys, "cell", "island", "_hot")
@@ -119,23 +125,33 @@ def window_starts(usage: DataFrame, keys=(), fold_limit: int = FOLD_LIMIT) -> Da
     split = points.join(marked, [*keys, "cell"])
     cold = _fold(split.where(~F.col("_hot")).select(*keys, "us", "cell"), keys)
     hot = _chase(split.where("_hot"), [*keys, "island"], rounds).select(*keys, "start_us")
-    return cold.unionByName(hot)
+    return cold.unionByName(hot), check["windows"]
+
+
+def window_starts(usage: DataFrame, keys=(), fold_limit: int = FOLD_LIMIT) -> DataFrame:
+    """One row (keys, start_us) per anchored window."""
+    return _starts(usage, list(keys), fold_limit)[0]
 
 
 def assign_windows(usage: DataFrame, keys=(), fold_limit: int = FOLD_LIMIT) -> DataFrame:
-    """Usage with the `start_us` of each record's window."""
+    """Usage with the `start_us` of each record's window.
+
+    A cell holds records of at most two windows, its own and the one of the cell before,
+    so the join on (keys, cell) gives one row per record."""
     keys = list(keys)
     home = slot("start_us", WINDOW_US)
     covers = F.explode(F.array(F.struct(home.alias("cell"), F.lit(True).alias("own")), F.struct((home + 1).alias("cell"), F.lit(False).alias("own"))))
+    starts, bound = _starts(usage, keys, fold_limit)
     cells = (
-        window_starts(usage, keys, fold_limit)
-        .select(*keys, "start_us", covers.alias("c"))
+        starts.select(*keys, "start_us", covers.alias("c"))
         .groupBy(*keys, F.col("c.cell").alias("_cell"))
         .agg(
             F.max(F.when(F.col("c.own"), F.col("start_us"))).alias("_own"),
             F.max(F.when(~F.col("c.own"), F.col("start_us"))).alias("_before"),
         )
     )
+    if bound <= BROADCAST_WINDOWS:
+        cells = F.broadcast(cells)
     rows = usage.withColumn("_us", micros("timestamp")).withColumn("_cell", slot("_us", WINDOW_US))
     start = F.when(F.col("_us") >= F.col("_own"), F.col("_own")).otherwise(F.col("_before"))
     return rows.join(cells, [*keys, "_cell"]).withColumn("start_us", start).drop("_own", "_before", "_cell", "_us")

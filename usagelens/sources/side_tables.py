@@ -12,7 +12,7 @@ MESSAGE_CHARS = 90
 
 def read_chat_titles(spark: SparkSession, root: str) -> DataFrame:
     """Title documents, one JSON file each."""
-    docs = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "local_*.json").option("wholetext", "true").text(root)
+    docs = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "local_*.json").text(root, wholetext=True)
     j = F.from_json("value", TITLE_SCHEMA)
     rows = docs.select(F.col("_metadata.file_path").alias("file"), j.alias("j"))
     return rows.select("file", F.col("j.cliSessionId").alias("session_id"), F.col("j.title").alias("title"), F.col("j.titleSource").alias("title_source"))
