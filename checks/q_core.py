@@ -45,7 +45,7 @@ reg(
 )
 reg(
     "cost",
-    lambda spark, sf: P.cost_per_record(usage(spark, sf)).select("event_id", "family", "cost_nano", P.cost_nano("family", "1h").alias("cost_nano_1h")),
+    lambda spark, sf: P.with_price(usage(spark, sf)).select("event_id", "family", P.cost_nano().alias("cost_nano"), P.cost_nano("1h").alias("cost_nano_1h")),
     q("SELECT event_id, family, cost_nano, cost_nano_1h FROM u"),
 )
 reg(

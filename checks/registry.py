@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import DataFrame, types as T
 
 from checks import views as V
 
@@ -14,17 +14,17 @@ def flat(df: DataFrame) -> DataFrame:
     """Only strings, bigints, doubles and booleans, so both engines print values alike."""
     cols = []
     for f in df.schema:
-        c = F.col(f"`{f.name}`")
+        c = f"`{f.name}`"
         if isinstance(f.dataType, (T.TimestampNTZType, T.TimestampType)):
-            c = F.date_format(c, "yyyy-MM-dd HH:mm:ss.SSSSSS")
+            c = f"date_format({c}, 'yyyy-MM-dd HH:mm:ss.SSSSSS')"
         elif isinstance(f.dataType, T.DateType):
-            c = c.cast("string")
+            c = f"CAST({c} AS STRING)"
         elif isinstance(f.dataType, T.ArrayType):
-            c = F.concat_ws(",", c)
+            c = f"concat_ws(',', {c})"
         elif isinstance(f.dataType, (T.IntegerType, T.ShortType, T.ByteType, T.DecimalType)):
-            c = c.cast("bigint")
-        cols.append(c.alias(f.name))
-    return df.select(*cols)
+            c = f"CAST({c} AS BIGINT)"
+        cols.append(f"{c} AS `{f.name}`")
+    return df.selectExpr(*cols)
 
 
 def reg(name: str, fn, sql: str | None = None) -> None:

@@ -26,26 +26,25 @@ def wide(c) -> Column:
 
 def idiv(n, d) -> Column:
     """Integer division, NULL for a zero divisor."""
-    return F.call_function("div", wide(n), F.nullif(wide(d), F.lit(0).cast("decimal(38,0)")))
+    return F.call_function("div", wide(n), F.nullif(wide(d), F.lit(0)))
 
 
-def round_div(n, d) -> Column:
-    """n / d rounded half away from zero, as BIGINT. d must be positive or zero (zero gives NULL)."""
+def round_div(n, d, *, signed: bool = False) -> Column:
+    """n / d rounded half away from zero, as BIGINT; NULL for a zero divisor. d must not
+    be negative, and n only where `signed`."""
     n, d = wide(n), wide(d)
-    half_up = F.call_function(
-        "div", wide(wide(F.abs(n) * 2) + d), F.nullif(wide(d * 2), F.lit(0).cast("decimal(38,0)"))
-    )
-    return F.when(n < 0, -half_up).otherwise(half_up)
+    half = F.when(n < 0, -d).otherwise(d) if signed else d
+    return F.call_function("div", n * 2 + half, F.nullif(d * 2, F.lit(0)))
 
 
 def scaled(units, places: int) -> Column:
     """Integer count of 10**-places units as a double."""
-    return _col(units).cast("double") / F.lit(float(10 ** places))
+    return _col(units).cast("double") / 10.0 ** places
 
 
 def cost_e4(nano) -> Column:
     """Nano-USD rounded to 1e-4 USD, as BIGINT."""
-    return F.call_function("div", _col(nano) + F.lit(NANO_PER_E4 // 2), F.lit(NANO_PER_E4))
+    return F.call_function("div", _col(nano) + NANO_PER_E4 // 2, F.lit(NANO_PER_E4))
 
 
 def usd4(nano) -> Column:
@@ -56,10 +55,23 @@ def usd2(nano) -> Column:
     return scaled(round_div(nano, NANO_PER_CENT), 2)
 
 
-def ratio(n, d, places: int) -> Column:
+def ratio(n, d, places: int, *, signed: bool = False) -> Column:
     """n / d rounded to `places`, 0 when d is not positive."""
-    r = scaled(round_div(wide(n) * F.lit(10 ** places), d), places)
-    return F.when(_col(d) > 0, r).otherwise(F.lit(0.0))
+    r = scaled(round_div(wide(n) * 10 ** places, d, signed=signed), places)
+    return F.when(_col(d) > 0, r).otherwise(0.0)
+
+
+# The same as SQL text, for expressions over plain column names: one call builds them.
+
+
+def usd4_sql(nano: str) -> str:
+    return f"CAST(({nano} + {NANO_PER_E4 // 2}) div {NANO_PER_E4} AS DOUBLE) / 1e4D"
+
+
+def ratio_sql(n: str, d: str, places: int) -> str:
+    wide_n, wide_d = f"CAST({n} AS DECIMAL(38,0))", f"CAST({d} AS DECIMAL(38,0))"
+    rounded = f"({wide_n} * {2 * 10 ** places} + {wide_d}) div nullif({wide_d} * 2, 0)"
+    return f"CASE WHEN {d} > 0 THEN CAST({rounded} AS DOUBLE) / 1e{places}D ELSE 0D END"
 
 
 def per_hour_cents(nano, hours_e4) -> Column:

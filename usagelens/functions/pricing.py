@@ -36,13 +36,12 @@ FAMILY_RULES = (
 )
 
 
-def model_family(model: str) -> Column:
+def model_family(model: str = "model", *, lowered: bool = False) -> Column:
     """Price family of the model id in column `model`; the first matching rule wins."""
+    m = model if lowered else f"lower({model})"
 
     def test(needle):
-        if needle.startswith("^"):
-            return f"startswith(lower({model}), '{needle[1:]}')"
-        return f"contains(lower({model}), '{needle}')"
+        return f"startswith({m}, '{needle[1:]}')" if needle.startswith("^") else f"contains({m}, '{needle}')"
 
     whens = " ".join(
         "WHEN " + " AND ".join("(" + " OR ".join(test(n) for n in group) + ")" for group in groups) + f" THEN '{family}'"
@@ -51,58 +50,55 @@ def model_family(model: str) -> Column:
     return F.expr(f"CASE {whens} ELSE 'unknown' END")
 
 
-def _price_sql(family: str, field: str) -> str:
-    """Price of the family in a column as a CASE: nine rows do not need a join."""
-    i = PRICE_FIELDS.index(field)
-    whens = " ".join(f"WHEN '{fam}' THEN {p[i]}L" for fam, p in PRICE_MILLI.items() if p[i])
-    return f"CASE {family} {whens} ELSE 0L END"
+_PRICE_MAP = "map(" + ", ".join(f"'{fam}', array({', '.join(f'{v}L' for v in p)})" for fam, p in PRICE_MILLI.items()) + ")"
+
+
+def price_array(family: str = "family") -> Column:
+    """Prices of a family, in PRICE_FIELDS order, from a constant map: nine rows do not
+    need a join, and a lookup keeps generated code small where a CASE per price does not."""
+    return F.expr(f"element_at({_PRICE_MAP}, {family})")
 
 
 def price_milli(family: str, field: str) -> Column:
-    return F.expr(_price_sql(family, field))
+    return F.get(price_array(family), F.lit(PRICE_FIELDS.index(field)))
 
 
 def price_struct(family: str) -> Column:
     return F.struct(*[price_milli(family, f).alias(f) for f in PRICE_FIELDS])
 
 
-def _cost_sql(family: str, cache_ttl: str, price: str | None) -> str:
+def cost_nano(cache_ttl: str = "5m", price: str = "_price") -> Column:
+    """Exact cost of one record in nano-USD from its price array."""
     if cache_ttl not in ("5m", "1h"):
         raise ValueError(f"cache_ttl must be 5m or 1h, not {cache_ttl!r}")
-
-    def rate(field):
-        return _price_sql(family, field) if price is None else f"{price}.{field}"
-
-    return (
-        f"(input_tokens * {rate('input')} + output_tokens * {rate('output')}"
-        f" + cache_read_tokens * {rate('cache_read')} + cache_creation_tokens * {rate('cache_write_' + cache_ttl)})"
+    i = {f: f"get({price}, {n})" for n, f in enumerate(PRICE_FIELDS)}
+    return F.expr(
+        f"input_tokens * {i['input']} + output_tokens * {i['output']}"
+        f" + cache_read_tokens * {i['cache_read']} + cache_creation_tokens * {i['cache_write_' + cache_ttl]}"
     )
 
 
-def cost_nano(family: str = "family", cache_ttl: str = "5m", price: str | None = None) -> Column:
-    """Exact cost of one record in nano-USD; unknown families cost nothing."""
-    return F.expr(_cost_sql(family, cache_ttl, price))
+def effective_tokens(cost: str = "cost_nano", price: str = "_price") -> Column:
+    """Input-equivalent tokens (cost with five-minute cache writes over the input price),
+    truncated per record; unknown families count input + output."""
+    return F.expr(f"coalesce({cost} div nullif(get({price}, 0), 0L), input_tokens + output_tokens)")
 
 
-def effective_tokens(family: str = "family", price: str | None = None) -> Column:
-    """Input-equivalent tokens, truncated per record; unknown families count input + output."""
-    base = _price_sql(family, "input") if price is None else f"{price}.input"
-    return F.expr(
-        f"CASE WHEN {base} > 0 THEN {_cost_sql(family, '5m', price)} div nullif({base}, 0L) ELSE input_tokens + output_tokens END"
+def with_price(usage: DataFrame) -> DataFrame:
+    """Add family and its price array, step by step so that each is computed once."""
+    return (
+        usage.withColumn("_model", F.lower("model"))
+        .withColumn("family", model_family("_model", lowered=True))
+        .withColumn("_price", price_array("family"))
     )
 
 
 def cost_per_record(usage: DataFrame, cache_ttl: str = "5m", prices: DataFrame | None = None) -> DataFrame:
     """Add family and cost. With `prices` (family + the five milli columns) the built-in
     list is replaced; the join carries no hint, so its size decides how it runs."""
-    df = usage.withColumn("family", model_family("model"))
-    if prices is None:
-        return df.withColumn("cost_nano", cost_nano("family", cache_ttl))
-    p = prices.select("family", F.struct(*PRICE_FIELDS).alias("_price"))
-    zero = F.struct(*[F.lit(0).cast("bigint").alias(f) for f in PRICE_FIELDS])
-    return (
-        df.join(p, "family", "left")
-        .withColumn("_price", F.coalesce("_price", zero))
-        .withColumn("cost_nano", cost_nano("family", cache_ttl, "_price"))
-        .drop("_price")
-    )
+    df = with_price(usage)
+    if prices is not None:
+        p = prices.select("family", F.array(*PRICE_FIELDS).alias("_own"))
+        zero = F.expr("array(0L, 0L, 0L, 0L, 0L)")
+        df = df.join(p, "family", "left").withColumn("_price", F.coalesce("_own", zero)).drop("_own")
+    return df.withColumn("cost_nano", cost_nano(cache_ttl)).drop("_model", "_price")

@@ -73,7 +73,7 @@ def by_session(
 ) -> DataFrame:
     """Session totals, the recent slice and the last turn; zero-token sessions drop out
     before the newest `limit` are kept. Intents and titles join the survivors only."""
-    recent = F.col("timestamp") >= C.hours_before(as_of, recent_hours * 10_000)
+    recent = C.recent(as_of, recent_hours * 10_000)
     last_fields = (
         "timestamp", "model", "input_tokens", "output_tokens", "cache_creation_tokens",
         "cache_read_tokens", "total_tokens", "cost_nano", "effective_tokens",
@@ -179,17 +179,13 @@ def tool_labels(usage: DataFrame, *, as_of=None, keys=(), top: int = 8) -> DataF
     )
 
 
-def _burn_cutoffs(as_of):
-    return [(label, h, F.col("timestamp") >= C.hours_before(as_of, h)) for label, h in C.BURN_WINDOWS]
-
-
 def by_device(usage: DataFrame, *, as_of, keys=()) -> DataFrame:
     """Lifetime, today and last-hour totals per device, one row per scope, in one pass."""
     device = S.or_unknown("device", "pc").alias("device")
     scopes = {
-        "lifetime": F.lit(True),
-        "today": F.col("timestamp") >= F.date_trunc("day", C.as_ts(as_of)).cast("timestamp_ntz"),
-        "h1": F.col("timestamp") >= C.hours_before(as_of, 10_000),
+        "lifetime": "true",
+        "today": f"timestamp >= TIMESTAMP_NTZ '{C.moment(as_of).date()}'",
+        "h1": C.recent(as_of, 10_000),
     }
     aggs = [a for s, cond in scopes.items() for a in C.totals_aggs(cond, s + "_")]
     wide = enrich(usage).groupBy(*keys, device).agg(*aggs)
@@ -200,8 +196,7 @@ def by_device(usage: DataFrame, *, as_of, keys=()) -> DataFrame:
 def by_device_burn(usage: DataFrame, *, as_of, keys=()) -> DataFrame:
     """Burn in $/h per device over each look-back window; idle devices show 0."""
     device = S.or_unknown("device", "pc").alias("device")
-    cuts = _burn_cutoffs(as_of)
-    aggs = [F.coalesce(F.sum(F.when(cond, F.col("cost_nano"))), F.lit(0)).alias("b_" + str(h)) for _, h, cond in cuts]
+    aggs = [C.sum_when("cost_nano", C.recent(as_of, h), f"b_{h}") for _, h in C.BURN_WINDOWS]
     wide = enrich(usage).groupBy(*keys, device).agg(*aggs)
     rows = F.array(
         *[
@@ -209,7 +204,7 @@ def by_device_burn(usage: DataFrame, *, as_of, keys=()) -> DataFrame:
                 F.lit(label).alias("window_hours"),
                 X.scaled(X.per_hour_cents("b_" + str(h), F.lit(h)), 2).alias("cost_per_hour"),
             )
-            for label, h, _ in cuts
+            for label, h in C.BURN_WINDOWS
         ]
     )
     return wide.select(*keys, "device", F.explode(rows).alias("r")).select(*keys, "device", "r.*")
@@ -305,14 +300,13 @@ def top_models(usage: DataFrame, *, as_of=None, keys=(), top: int = 8) -> DataFr
 
 
 def _recent_errors(errors: DataFrame, as_of, hours: int) -> DataFrame:
-    return errors.where(F.col("timestamp") >= C.hours_before(as_of, hours * 10_000))
+    return C.since(errors, as_of, hours * 10_000)
 
 
 def errors_summary(errors: DataFrame, *, as_of, keys=(), lookback_hours: int = 24) -> DataFrame:
-    recent = F.col("timestamp") >= C.hours_before(as_of, lookback_hours * 10_000)
     return errors.groupBy(*keys).agg(
         F.lit(lookback_hours).alias("lookback_hours"),
-        F.count_if(recent).alias("total"),
+        F.expr(f"count_if({C.recent(as_of, lookback_hours * 10_000)})").alias("total"),
         F.count(F.lit(1)).alias("total_lifetime"),
     )
 

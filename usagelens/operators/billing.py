@@ -251,18 +251,19 @@ def burn_rate_zones(usage: DataFrame, *, as_of, keys=(), windows=None) -> DataFr
     )
 
 
-def _cost_since(usage: DataFrame, as_of, keys, hours_e4: int) -> DataFrame:
-    recent = F.col("timestamp") >= C.hours_before(as_of, hours_e4)
-    return enrich(usage).groupBy(*keys).agg(F.coalesce(F.sum(F.when(recent, F.col("cost_nano"))), F.lit(0)).alias("rate_nano"))
+def burn_cents(usage: DataFrame, as_of, keys, hours_e4: int, alias: str = "rate_c") -> DataFrame:
+    """Cents per hour over one look-back window; every key keeps a row."""
+    e = enrich(usage)
+    e = e if keys else C.since(e, as_of, hours_e4)
+    sums = e.groupBy(*keys).agg(C.sum_when("cost_nano", C.recent(as_of, hours_e4), "_nano"))
+    return sums.select(*keys, X.per_hour_cents("_nano", F.lit(hours_e4)).alias(alias))
 
 
 def gauge_zone(usage: DataFrame, *, as_of, keys=(), hours: str = "2", windows=None) -> DataFrame:
     """Burn rate of one look-back window against the zones."""
     h = dict(C.BURN_WINDOWS)[hours]
     z = zones_from_state(window_state(usage, as_of=as_of, keys=keys, windows=windows), keys)
-    out = C.null_safe_join(z, _cost_since(usage, as_of, keys, h), keys)
-    rate = X.per_hour_cents("rate_nano", F.lit(h))
-    out = out.withColumn("rate_c", rate)
+    out = C.null_safe_join(z, burn_cents(usage, as_of, keys, h), keys)
     hot = F.when(F.col("rate_c") >= F.col("heavy_c"), "heavy").when(F.col("rate_c") >= F.col("busy_c"), "busy")
     zone = hot.when(F.col("rate_c") >= F.col("typical_c"), "above normal").otherwise("calm")
     kind = F.when(zone == "heavy", "bad").when(zone == "calm", "good").otherwise("warn")

@@ -18,7 +18,11 @@ def _window_sums(usage: DataFrame, as_of, keys) -> DataFrame:
     only the longest window is read; with keys idle ones keep their zero rows."""
     e = enrich(usage)
     if not keys:
-        e = C.since(e, C.hours_before(as_of, max(h for _, h in C.BURN_WINDOWS)))
+        e = C.since(e, as_of, max(h for _, h in C.BURN_WINDOWS))
+    aggs = [C.sum_when("cost_nano", C.recent(as_of, h), f"b_{h}") for _, h in C.BURN_WINDOWS]
+    e = enrich(usage)
+    if not keys:
+        e = C.since(e, as_of, max(h for _, h in C.BURN_WINDOWS))
     aggs = [
         F.coalesce(F.sum(F.when(F.col("timestamp") >= C.hours_before(as_of, h), F.col("cost_nano"))), F.lit(0)).alias("b_" + str(h))
         for _, h in C.BURN_WINDOWS
@@ -38,7 +42,7 @@ def burn_rates_by_hours(usage: DataFrame, *, as_of, keys=()) -> DataFrame:
 def burn_by_model(usage: DataFrame, *, as_of, keys=()) -> DataFrame:
     """Burn per model and look-back window with its share; below one cent per hour drops out."""
     longest = max(h for _, h in C.BURN_WINDOWS)
-    recent = C.since(enrich(usage), C.hours_before(as_of, longest))
+    recent = C.since(enrich(usage), as_of, longest)
     sums = _window_sums(recent.withColumn("model_id", S.or_unknown("model")), as_of, [*keys, "model_id"])
     total = F.sum("nano").over(Window.partitionBy(*keys, "window_hours"))
     kept = sums.withColumn("_total", total).where(F.col("nano") * 10_000 >= F.col("hours_e4") * F.lit(X.NANO_PER_CENT))
@@ -50,7 +54,7 @@ def burn_by_model(usage: DataFrame, *, as_of, keys=()) -> DataFrame:
 
 
 def recent_costs(usage: DataFrame, *, as_of, keys=(), hours: int = 6) -> DataFrame:
-    recent = C.since(enrich(usage), C.hours_before(as_of, hours * 10_000))
+    recent = C.since(enrich(usage), as_of, hours * 10_000)
     minute = F.date_trunc("minute", "timestamp").cast("timestamp_ntz").alias("minute")
     return recent.groupBy(*keys, minute).agg(X.usd4(F.sum("cost_nano")).alias("cost"))
 
@@ -64,6 +68,11 @@ def live_burn_rate(costs: DataFrame, *, as_of, keys=(), hours: str = "2") -> Dat
     return g.select(*keys, F.lit(hours).alias("window_hours"), X.scaled(X.round_div(X.wide("_e4") * 100, h), 2).alias("cost_per_hour"))
 
 
+def _minutes(m: int):
+    """Minutes in 1e-4 hours."""
+    return m * 10_000 / 60
+
+
 def live_active_models(usage: DataFrame, *, as_of, keys=(), minutes=LIVE_MINUTES) -> DataFrame:
     """Models active per look-back window and device.
 
@@ -71,10 +80,8 @@ def live_active_models(usage: DataFrame, *, as_of, keys=(), minutes=LIVE_MINUTES
     only those sums are copied to the wider windows.
     """
     cuts = sorted(minutes)
-    recent = C.since(enrich(usage), C.as_ts(as_of) - F.make_dt_interval(mins=F.lit(cuts[-1])))
-    ring = F
-    for i, m in enumerate(cuts):
-        ring = ring.when(F.col("timestamp") >= C.as_ts(as_of) - F.make_dt_interval(mins=F.lit(m)), i)
+    recent = C.since(enrich(usage), as_of, _minutes(cuts[-1]))
+    ring = F.expr("CASE " + " ".join(f"WHEN {C.recent(as_of, _minutes(m))} THEN {i}" for i, m in enumerate(cuts)) + " END")
     latest = ("project_label", "project_dir", "session_id")
     rings = (
         recent.withColumn("_ring", ring)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from datetime import datetime
+from datetime import datetime, timedelta
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -27,26 +27,40 @@ BURN_WINDOWS = (("0.0833", 833), ("0.25", 2500), ("1", 10000), ("2", 20000), ("4
 ACTIVE_DAY_E4 = 5_000          # a day above $0.50 counts as active
 
 
+def moment(as_of: datetime | str) -> datetime:
+    return as_of if isinstance(as_of, datetime) else datetime.fromisoformat(as_of)
+
+
 def as_ts(as_of: datetime | str) -> Column:
-    return F.lit(str(as_of)).cast("timestamp_ntz")
+    return F.expr(f"TIMESTAMP_NTZ '{moment(as_of)}'")
 
 
 def as_date(as_of) -> Column:
-    return F.to_date(as_ts(as_of))
+    return F.expr(f"DATE '{moment(as_of).date()}'")
+
+
+def cutoff(as_of, hours_e4: int) -> str:
+    """SQL literal of the time hours_e4 ten-thousandths of an hour before as_of."""
+    return f"TIMESTAMP_NTZ '{moment(as_of) - timedelta(microseconds=hours_e4 * 360_000)}'"
 
 
 def hours_before(as_of, hours_e4: int) -> Column:
-    us = hours_e4 * 360_000
-    return as_ts(as_of) - F.make_dt_interval(secs=F.lit(us / 1e6).cast("decimal(18,6)"))
+    return F.expr(cutoff(as_of, hours_e4))
+
+
+def recent(as_of, hours_e4: int) -> str:
+    """SQL condition of the look-back window; it has no upper bound."""
+    return f"timestamp >= {cutoff(as_of, hours_e4)}"
 
 
-def since(df: DataFrame, cutoff: Column) -> DataFrame:
-    """Rows from `cutoff` on. The date predicate lets a table partitioned by date skip
-    the partitions before it."""
-    recent = F.col("timestamp") >= cutoff
+def since(df: DataFrame, as_of, hours_e4: int) -> DataFrame:
+    """Rows of the look-back window. The date predicate lets a table partitioned by date
+    skip the partitions before it."""
+    cond = recent(as_of, hours_e4)
     if "date" in df.columns:
-        recent = (F.col("date") >= F.to_date(cutoff)) & recent
-    return df.where(recent)
+        day = (moment(as_of) - timedelta(microseconds=hours_e4 * 360_000)).date()
+        cond = f"date >= DATE '{day}' AND {cond}"
+    return df.where(cond)
 
 
 def maybe_broadcast(df: DataFrame, max_rows: int = 200_000) -> DataFrame:
@@ -58,29 +72,27 @@ def record_order() -> Column:
     return F.struct(*RECORD_ORDER)
 
 
-def totals_aggs(when: Column | None = None, prefix: str = "") -> list[Column]:
-    """Sums behind one totals block, optionally only over rows that match."""
+def sum_when(value: str, cond: str, alias: str) -> Column:
+    return F.expr(f"coalesce(sum({value}) FILTER (WHERE {cond}), 0L) AS {alias}")
 
-    def pick(c):
-        return F.col(c) if when is None else F.when(when, F.col(c))
 
-    out = [F.coalesce(F.sum(pick(c)), F.lit(0)).alias(prefix + c) for c in TOKEN_FIELDS]
-    out.append(F.coalesce(F.sum(pick("cost_nano")), F.lit(0)).alias(prefix + "cost_nano"))
-    n = F.count(F.lit(1)) if when is None else F.count_if(when)
-    out.append(n.alias(prefix + "messages"))
-    return out
+def totals_aggs(when: str = "true", prefix: str = "") -> list[Column]:
+    """Sums behind one totals block, optionally only over rows that match a condition."""
+    f = "" if when == "true" else f" FILTER (WHERE {when})"
+    out = [F.expr(f"coalesce(sum({c}){f}, 0L) AS {prefix}{c}") for c in (*TOKEN_FIELDS, "cost_nano")]
+    return [*out, F.expr(f"count(1){f} AS {prefix}messages")]
 
 
 def hit_rate(prefix: str = "") -> Column:
     """Cache reads over all input-side tokens."""
-    read = F.col(prefix + "cache_read_tokens")
-    return X.ratio(read, read + F.col(prefix + "input_tokens") + F.col(prefix + "cache_creation_tokens"), 4)
+    read = prefix + "cache_read_tokens"
+    return F.expr(X.ratio_sql(read, f"({read} + {prefix}input_tokens + {prefix}cache_creation_tokens)", 4))
 
 
 def totals_out(prefix: str = "") -> list[Column]:
     return [
         *[F.col(prefix + c).alias(c) for c in TOKEN_FIELDS],
-        X.usd4(F.col(prefix + "cost_nano")).alias("cost_usd"),
+        F.expr(X.usd4_sql(prefix + "cost_nano")).alias("cost_usd"),
         F.col(prefix + "messages").alias("messages"),
         hit_rate(prefix).alias("cache_hit_rate"),
     ]

@@ -172,12 +172,12 @@ def trend(usage: DataFrame, *, as_of, keys=()) -> DataFrame:
             F.lit("daily_cost").alias("metric"), cost_ok.alias("_ok"),
             X.scaled(X.round_div("day_sum", F.col("day_n") * 100), 2).alias("recent"),
             X.scaled(X.round_div("prior_sum", F.col("prior_n") * 100), 2).alias("prior"),
-            X.scaled(X.round_div(dn * 1000, pn), 1).alias("delta_pct"), direction(dn, pn, 20).alias("direction"),
+            X.scaled(X.round_div(dn * 1000, pn, signed=True), 1).alias("delta_pct"), direction(dn, pn, 20).alias("direction"),
         ),
         F.struct(
             F.lit("cache_hit_rate").alias("metric"), hit_ok.alias("_ok"),
             X.ratio("r_read", "r_side", 4).alias("recent"), X.ratio("p_read", "p_side", 4).alias("prior"),
-            X.scaled(X.round_div(dh * 1000, both), 1).alias("delta_pct"), direction(dh, both, 100).alias("direction"),
+            X.scaled(X.round_div(dh * 1000, both, signed=True), 1).alias("delta_pct"), direction(dh, both, 100).alias("direction"),
         ),
     )
     return s.select(*keys, F.explode(rows).alias("r")).select(*keys, "r.*").where("_ok").drop("_ok")

@@ -33,9 +33,8 @@ def device_summary(usage: DataFrame, *, as_of, keys=DEVICE) -> DataFrame:
     """Scalars of one device and source."""
     keys = list(keys)
     e = enrich(usage)
-    two = F.col("timestamp") >= C.hours_before(as_of, 20_000)
     tot = e.groupBy(*keys).agg(
-        *C.totals_aggs(), F.coalesce(F.sum(F.when(two, F.col("cost_nano"))), F.lit(0)).alias("_two"), F.max("timestamp").alias("last_seen")
+        *C.totals_aggs(), C.sum_when("cost_nano", C.recent(as_of, 20_000), "_two"), F.max("timestamp").alias("last_seen")
     )
     tot = tot.select(
         *keys, F.col("messages").alias("record_count"),

@@ -39,9 +39,8 @@ def commit_cost(
         "slice", F.explode(F.sequence(_slot(F.col("us") - reach), _slot(F.col("us"))))
     )
     by = [*keys, "project_dir", "slice"]
-    floor = C.hours_before(as_of, (since_days * 24 + max_hours) * 10_000)
     rows = (
-        C.since(enrich(usage), floor)
+        C.since(enrich(usage), as_of, (since_days * 24 + max_hours) * 10_000)
         .where(F.coalesce("project_dir", F.lit("")) != "")
         .select(*keys, "project_dir", at.alias("us"), "session_id", "total_tokens", "cost_nano")
         .withColumn("slice", _slot(F.col("us")))

@@ -23,9 +23,7 @@ def _money(cents) -> Column:
 def _level_parts(usage: DataFrame, limits: DataFrame, as_of, keys, limit_keys, preferred_device) -> DataFrame:
     e = enrich(usage)
     zones = B.zones_from_state(B.window_state(e, as_of=as_of, keys=keys), keys).select(*keys, "heavy_c")
-    two = F.col("timestamp") >= C.hours_before(as_of, 20_000)
-    burn = e.groupBy(*keys).agg(F.coalesce(F.sum(F.when(two, F.col("cost_nano"))), F.lit(0)).alias("_n"))
-    burn = burn.select(*keys, X.per_hour_cents("_n", F.lit(20_000)).alias("rate_c"))
+    burn = B.burn_cents(e, as_of, keys, 20_000)
     daily = A.daily_base(e, keys)
     cents = lambda c: F.round(F.col(c) * 100).cast("bigint")
     week = T.weekly_cap(e, as_of=as_of, keys=keys, daily=daily).select(*keys, cents("rolling_7day_cost").alias("week_c"), cents("p95_7row_cost").alias("p95_c"))
@@ -92,12 +90,10 @@ def status_fields(usage: DataFrame, errors: DataFrame, *, as_of, keys=()) -> Dat
     past = F.coalesce(eta_ready & (F.col("w_cost_e4") >= F.col("cost_p90_c") * 100), F.lit(False))
     left = F.when(F.col("active"), X.idiv("remaining_s", 60)).otherwise(F.lit(0).cast("bigint"))
     z = zones.select(*keys, *[c + "_c" for c in B.ZONES], past.alias("block_past_p90"), left.alias("block_remaining_min"))
-    two = F.col("timestamp") >= C.hours_before(as_of, 20_000)
-    today = F.col("date") == C.as_date(as_of)
     tot = e.groupBy(*keys).agg(
         *[F.sum(c).alias(c) for c in ("cache_read_tokens", "input_tokens", "cache_creation_tokens")],
-        F.coalesce(F.sum(F.when(two, F.col("cost_nano"))), F.lit(0)).alias("_two"),
-        F.coalesce(F.sum(F.when(today, F.col("cost_nano"))), F.lit(0)).alias("_today"),
+        C.sum_when("cost_nano", C.recent(as_of, 20_000), "_two"),
+        C.sum_when("cost_nano", f"date = DATE '{C.moment(as_of).date()}'", "_today"),
     )
     newest = A.by_session(e, as_of=as_of, keys=keys, limit=1).select(*keys, F.try_element_at("models", F.lit(-1)).alias("_model"))
     err = A.errors_summary(errors, as_of=as_of, keys=keys).select(*keys, F.col("total").alias("errors_24h"))

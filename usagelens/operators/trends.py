@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from datetime import datetime, timedelta
+
 from pyspark.sql import DataFrame, Window, functions as F
 
 from usagelens.functions import exact as X, text as S
 from usagelens.operators import common as C
 from usagelens.operators.aggregates import daily_base
+from usagelens.operators.billing import burn_cents
 from usagelens.schema import enrich
 
 ACTIVE_SLOT_US = 300_000_000          # five minutes of activity
@@ -51,7 +54,7 @@ def weekly_cap(usage: DataFrame, *, as_of, keys=(), daily: DataFrame | None = No
         *keys,
         X.scaled(X.round_div("_now", 100), 2).alias("rolling_7day_cost"),
         X.scaled(X.round_div("_prev", 100), 2).alias("prev_7day_cost"),
-        X.ratio((F.col("_now") - F.col("_prev")) * 100, "_prev", 1).alias("delta_pct"),
+        X.ratio((F.col("_now") - F.col("_prev")) * 100, "_prev", 1, signed=True).alias("delta_pct"),
         X.scaled(X.round_div("_p95", 10_000), 2).alias("p95_7row_cost"),
         X.scaled(X.round_div("_med", 10_000), 2).alias("median_7row_cost"),
         F.size("_hist").alias("samples"),
@@ -114,7 +117,7 @@ def _active_slots(usage: DataFrame, keys) -> DataFrame:
 
 
 def active_hours_base(usage: DataFrame, *, as_of, keys=(), days: int = 7, where=None) -> DataFrame:
-    recent = C.since(usage, C.hours_before(as_of, days * 240_000))
+    recent = C.since(usage, as_of, days * 240_000)
     if where is not None:
         recent = recent.where(where)
     slots = _active_slots(recent, keys)
@@ -169,7 +172,7 @@ def burn_rate_timeseries(usage: DataFrame, *, as_of, keys=(), widths=SERIES_WIDT
     age = end_us - S.micros("timestamp")
     # The bar edges belong to the later bar, except as_of itself, which closes the last one.
     back = F.when(age == 0, 0).otherwise(F.call_function("div", age - 1, F.lit(C.US_PER_HOUR)))
-    recent = C.since(enrich(usage), C.hours_before(as_of, hours * 10_000)).where(age >= 0)
+    recent = C.since(enrich(usage), as_of, hours * 10_000).where(age >= 0)
     hourly = recent.groupBy(*keys, back.cast("int").alias("_back")).agg(
         F.sum("cost_nano").alias("cost_nano"), F.sum("total_tokens").alias("tokens"), F.count(F.lit(1)).alias("records")
     )
@@ -212,16 +215,17 @@ def moving_average(series: DataFrame, *, n: int, value: str = "cost_per_hour", k
 
 
 def _calendar(as_of):
-    """Dates and day counts around as_of."""
-    now = C.as_ts(as_of)
-    today = F.to_date(now)
+    """Dates and counts around as_of; weeks start on Monday."""
+    now = C.moment(as_of)
+    today = now.date()
+    month = today.replace(day=1)
     return {
         "today": today,
-        "week_start": F.date_sub(today, F.weekday(today)),
-        "week_left": F.lit(6) - F.weekday(today),
-        "month_start": F.trunc(today, "month"),
-        "month_left": F.datediff(F.last_day(today), today),
-        "left_us": F.lit(DAY_US) - F.pmod(S.micros(now), F.lit(DAY_US)),
+        "week_start": today - timedelta(days=today.weekday()),
+        "week_left": 6 - today.weekday(),
+        "month_start": month,
+        "month_left": (month + timedelta(days=32)).replace(day=1).toordinal() - today.toordinal() - 1,
+        "left_us": (datetime.combine(today, datetime.min.time()) + timedelta(days=1) - now) // timedelta(microseconds=1),
     }
 
 
@@ -229,12 +233,12 @@ def forecast_base(usage: DataFrame, *, as_of, keys=(), daily: DataFrame | None =
     """Sums so far in e4 and twice the median of the last seven active days."""
     cal = _calendar(as_of)
     d = _daily(usage, keys, daily)
-    day, cost = F.col("date"), F.col("cost_e4")
-    active = F.when(cost > C.ACTIVE_DAY_E4, F.struct("date", "cost_e4"))
+    def total(start, alias):
+        return C.sum_when("cost_e4", f"date >= DATE '{cal[start]}' AND date <= DATE '{cal['today']}'", alias)
+
+    active = F.when(F.col("cost_e4") > C.ACTIVE_DAY_E4, F.struct("date", "cost_e4"))
     g = d.groupBy(*keys).agg(
-        _sum_when(day == cal["today"], cost).alias("today_e4"),
-        _sum_when((day >= cal["week_start"]) & (day <= cal["today"]), cost).alias("week_e4"),
-        _sum_when((day >= cal["month_start"]) & (day <= cal["today"]), cost).alias("month_e4"),
+        total("today", "today_e4"), total("week_start", "week_e4"), total("month_start", "month_e4"),
         F.slice(F.sort_array(F.collect_list(active), asc=False), 1, 7).alias("_active"),
     )
     values = F.array_sort(F.transform("_active", lambda a: a["cost_e4"]))
@@ -242,46 +246,44 @@ def forecast_base(usage: DataFrame, *, as_of, keys=(), daily: DataFrame | None =
     return g.withColumn("typical_x2", F.coalesce(med2, F.lit(0).cast("bigint"))).drop("_active")
 
 
-def _project(so_far: str, days):
+def _project(so_far: str, days: int):
     """so_far + typical * days, in cents, with typical held twofold in e4."""
     return X.round_div(X.wide(so_far) * 2 + X.wide("typical_x2") * days, 200)
 
 
 def projections(base: DataFrame, as_of, keys=()) -> DataFrame:
     cal = _calendar(as_of)
-    left, day2 = X.wide(cal["left_us"]), X.wide(F.lit(2 * DAY_US))
-    rest = X.wide("typical_x2") * left
+    week, month = cal["week_left"], cal["month_left"]
+    rest = X.wide("typical_x2") * cal["left_us"]
     return base.select(
         *keys,
         X.round_div("today_e4", 100).alias("today_so_far_c"),
-        X.round_div(rest + X.wide("today_e4") * day2, day2 * 100).alias("today_projected_eod_c"),
-        X.round_div(rest, day2 * 100).alias("today_remaining_c"),
-        X.round_div(left * 10, F.lit(C.US_PER_HOUR)).alias("hours_left_x10"),
+        X.round_div(rest + X.wide("today_e4") * (2 * DAY_US), 200 * DAY_US).alias("today_projected_eod_c"),
+        X.round_div(rest, 200 * DAY_US).alias("today_remaining_c"),
+        F.lit((cal["left_us"] * 20 + C.US_PER_HOUR) // (2 * C.US_PER_HOUR)).alias("hours_left_x10"),
         X.round_div("week_e4", 100).alias("week_so_far_c"),
-        _project("week_e4", cal["week_left"]).alias("week_projected_eow_c"),
-        X.round_div(X.wide("typical_x2") * cal["week_left"], 200).alias("week_remaining_c"),
-        cal["week_left"].alias("week_days_left"),
+        _project("week_e4", week).alias("week_projected_eow_c"),
+        X.round_div(X.wide("typical_x2") * week, 200).alias("week_remaining_c"),
+        F.lit(week).alias("week_days_left"),
         X.round_div("typical_x2", 200).alias("typical_daily_c"),
         X.round_div("month_e4", 100).alias("month_so_far_c"),
-        _project("month_e4", cal["month_left"]).alias("month_projected_eom_c"),
-        X.round_div(X.wide("typical_x2") * cal["month_left"], 200).alias("month_remaining_c"),
-        cal["month_left"].alias("month_days_left"),
+        _project("month_e4", month).alias("month_projected_eom_c"),
+        X.round_div(X.wide("typical_x2") * month, 200).alias("month_remaining_c"),
+        F.lit(month).alias("month_days_left"),
     )
 
 
 def forecast(usage: DataFrame, *, as_of, keys=(), daily: DataFrame | None = None) -> DataFrame:
     """End of day, week and month at the pace of a typical active day, plus the 2 h burn rate."""
     p = projections(forecast_base(usage, as_of=as_of, keys=keys, daily=daily), as_of, keys)
-    recent = F.col("timestamp") >= C.hours_before(as_of, 20_000)
-    burn = enrich(usage).groupBy(*keys).agg(F.coalesce(F.sum(F.when(recent, F.col("cost_nano"))), F.lit(0)).alias("_nano"))
-    out = C.null_safe_join(p, burn, keys)
+    out = C.null_safe_join(p, burn_cents(usage, as_of, keys, 20_000), keys)
 
     def usd(name):
         return X.scaled(name + "_c", 2)
 
     return out.select(
         *keys,
-        X.scaled(X.per_hour_cents("_nano", F.lit(20_000)), 2).alias("burn_rate_per_hour_recent"),
+        X.scaled("rate_c", 2).alias("burn_rate_per_hour_recent"),
         usd("today_so_far").alias("today_so_far"),
         usd("today_projected_eod").alias("today_projected_eod"),
         usd("today_remaining").alias("today_remaining_projection"),

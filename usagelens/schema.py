@@ -39,13 +39,14 @@ def enrich(usage: DataFrame) -> DataFrame:
     if set(DERIVED) <= set(usage.columns):
         return usage
     billable = F.col("input_tokens") + F.col("output_tokens") + F.col("cache_creation_tokens")
-    df = usage.withColumn("family", P.model_family("model"))
-    return df.withColumns(
-        {
+    return (
+        P.with_price(usage)
+        .withColumns({
             "billable_tokens": billable,
             "total_tokens": billable + F.col("cache_read_tokens"),
             "cost_nano": P.cost_nano(),
-            "effective_tokens": P.effective_tokens(),
             "date": F.to_date("timestamp"),
-        }
+        })
+        .withColumn("effective_tokens", P.effective_tokens())
+        .drop("_model", "_price")
     )
