@@ -20,13 +20,6 @@ def _window_sums(usage: DataFrame, as_of, keys) -> DataFrame:
     if not keys:
         e = C.since(e, as_of, max(h for _, h in C.BURN_WINDOWS))
     aggs = [C.sum_when("cost_nano", C.recent(as_of, h), f"b_{h}") for _, h in C.BURN_WINDOWS]
-    e = enrich(usage)
-    if not keys:
-        e = C.since(e, as_of, max(h for _, h in C.BURN_WINDOWS))
-    aggs = [
-        F.coalesce(F.sum(F.when(F.col("timestamp") >= C.hours_before(as_of, h), F.col("cost_nano"))), F.lit(0)).alias("b_" + str(h))
-        for _, h in C.BURN_WINDOWS
-    ]
     wide = e.groupBy(*keys).agg(*aggs)
     rows = F.array(
         *[F.struct(F.lit(l).alias("window_hours"), F.lit(h).cast("bigint").alias("hours_e4"), F.col("b_" + str(h)).alias("nano")) for l, h in C.BURN_WINDOWS]

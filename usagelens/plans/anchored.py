@@ -22,12 +22,13 @@ import math
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from usagelens.functions.text import micros
+from usagelens.operators.common import maybe_broadcast
 from usagelens.plans.asof import first_at_or_after
 from usagelens.session import cut_lineage
 
 WINDOW_US = 5 * 3_600_000_000
 SLICE_US = 300_000_000
-FOLD_LIMIT = 200_000
+FOLD_LIMIT = 10_000_000         # records of an island folded in one task: at most 80 MB of times
 
 
 def slot(us, width: int) -> Column:
@@ -50,15 +51,18 @@ def _fold(points: DataFrame, keys) -> DataFrame:
     gap = F.get("times", F.lit(0)) - F.lag(F.element_at("times", -1)).over(w)
     cells = cells.withColumn("_opens", F.coalesce(gap >= WINDOW_US, F.lit(True)).cast("bigint"))
     cells = cells.withColumn("island", F.sum("_opens").over(w))
-    chain = F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("cell", "times"))), lambda c: c["times"]))
+    # One step per cell, not per record: a cell opens at most one window, at its first
+    # time that is a full window after the start before.
+    def first_from(times, start):
+        late = F.filter(times, lambda t: t >= F.coalesce(start + WINDOW_US, F.get(times, F.lit(0))))
+        return F.slice(late, 1, 1)
+
     starts = F.aggregate(
         "chain",
         F.array().cast("array<bigint>"),
-        lambda acc, t: F.when(
-            (F.size(acc) == 0) | (t >= F.try_element_at(acc, F.lit(-1)) + WINDOW_US), F.concat(acc, F.array(t))
-        ).otherwise(acc),
+        lambda acc, cell: F.concat(acc, first_from(cell["times"], F.try_element_at(acc, F.lit(-1)))),
     )
-    folded = cells.groupBy(*keys, "island").agg(chain.alias("chain"))
+    folded = cells.groupBy(*keys, "island").agg(F.sort_array(F.collect_list(F.struct("cell", "times"))).alias("chain"))
     return folded.select(*keys, F.explode(starts).alias("start_us"))
 
 
@@ -119,12 +123,11 @@ def _starts(usage: DataFrame, keys, fold_limit: int) -> tuple[DataFrame, int]:
     if not check["hot"]:
         return _fold(points, keys), check["windows"]
     rounds = max(1, math.ceil(math.log2(check["span"] // WINDOW_US + 2)))
-    marked = islands.join(sizes.select(*keys, "island", over.alias("_hot")), [*keys, "island"])
-    marked = marked.select(*keys, "cell", "island", "_hot")
-    # No hint: one row per key and cell, so its real size decides, and AQE splits hot cells.
-    split = points.join(marked, [*keys, "cell"])
-    cold = _fold(split.where(~F.col("_hot")).select(*keys, "us", "cell"), keys)
-    hot = _chase(split.where("_hot"), [*keys, "island"], rounds).select(*keys, "start_us")
+    over_limit = sizes.where(over).select(*keys, "island")
+    hot_cells = cut_lineage(islands.join(over_limit, [*keys, "island"]).select(*keys, "cell", "island"))
+    hot_cells = maybe_broadcast(hot_cells)
+    cold = _fold(points.join(hot_cells, [*keys, "cell"], "left_anti"), keys)
+    hot = _chase(points.join(hot_cells, [*keys, "cell"]), [*keys, "island"], rounds).select(*keys, "start_us")
     return cold.unionByName(hot), check["windows"]
 
 
