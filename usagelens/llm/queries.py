@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from usagelens.llm import line_dedup, pii, quality_rules
+from usagelens.llm import fingerprints, line_dedup, packing, pii, quality_rules, token_store
 
 QUERIES: dict = {}
 SQL: dict = {}
@@ -67,3 +67,16 @@ _reg(
     quality_rules.measure_quality,
     f"WITH {QUALITY_SQL.replace('{docs}', 'documents')} SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_lines, n_capitals, n_repeat_words, base_failed, kept FROM judged",
 )
+
+
+def _tokenizer(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+_reg("op3_packing", lambda docs: packing.pack(docs, _tokenizer("byte_bpe_50k.json"), with_ids=False))
+
+_reg("op5_token_store", lambda docs: token_store.store_and_read(docs, _tokenizer("word_bpe_49k.json")))
+
+_reg("op8_fingerprints", fingerprints.compare_with_edits)
