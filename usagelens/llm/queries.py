@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from usagelens.llm import fingerprints, line_dedup, packing, pii, quality_rules, token_store
+from usagelens.llm import fingerprints, line_dedup, ngram_join, packing, pii, quality_rules, token_store
 
 QUERIES: dict = {}
 SQL: dict = {}
@@ -80,3 +80,21 @@ _reg("op3_packing", lambda docs: packing.pack(docs, _tokenizer("byte_bpe_50k.jso
 _reg("op5_token_store", lambda docs: token_store.store_and_read(docs, _tokenizer("word_bpe_49k.json")))
 
 _reg("op8_fingerprints", fingerprints.compare_with_edits)
+
+NGRAM_SQL = r"""
+shingled AS (
+  SELECT doc_id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+         ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i : i + 4], ' ')) END) AS s
+  FROM (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM {docs})
+), members AS (
+  SELECT doc_id, len(s) AS n, unnest(s) AS k FROM shingled
+), links AS (
+  SELECT a.doc_id AS a, b.doc_id AS b FROM members a JOIN members b ON a.k = b.k AND a.doc_id <> b.doc_id
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 75 * (a.n + b.n - count(*))
+), reach(doc_id, other) AS (
+  SELECT doc_id, doc_id FROM shingled UNION SELECT r.doc_id, l.b FROM reach r JOIN links l ON l.a = r.other
+), grouped AS (
+  SELECT s.doc_id, any_value(len(s.s)) AS n_shingles, min(r.other) AS component_id FROM shingled s JOIN reach r ON s.doc_id = r.doc_id GROUP BY s.doc_id
+)"""
+
+_reg("op7_ngram_join", ngram_join.similar_documents, f"WITH RECURSIVE {NGRAM_SQL.replace('{docs}', 'documents')} SELECT doc_id, n_shingles, component_id FROM grouped")

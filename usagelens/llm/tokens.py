@@ -39,12 +39,21 @@ class Encoder:
         self.size = self.tokenizer.get_vocab_size()
         # Byte-level tokenizers keep the blank with the word; the others drop white space.
         kept = self.tokenizer.normalizer is None
-        self.parts = (_BLANK_KEPT if kept else _BLANK_DROPPED).findall
+        self.parts = _BLANK_KEPT.findall if kept else self._lower_parts
         # Stands between new parts that are encoded in one go: one id that no run of letters or signs has.
         self.comma = "\n" if kept else " 0 "
         [self.comma_id] = self.tokenizer.encode(self.comma, add_special_tokens=False).ids
         self._clear()
 
+    @staticmethod
+    def _lower_parts(text: str) -> list[str]:
+        """These tokenizers lower-case; doing so first (where it is the same by any rule) finds more parts known."""
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            return _BLANK_DROPPED.findall(text)
+        return _BLANK_DROPPED.findall(text.lower())
+
     def _clear(self) -> None:
         self.known: dict[str, int] = {}
         self.ids, self.starts, self.sizes, self.used = np.zeros(1 << 16, np.uint32), np.zeros(1 << 15, np.int64), np.zeros(1 << 15, np.int32), 0
