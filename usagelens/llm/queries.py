@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from usagelens.llm import fingerprints, line_dedup, ngram_join, packing, pii, quality_rules, token_store
+from usagelens.llm import fingerprints, language_model, line_dedup, ngram_join, packing, pii, quality_rules, token_store
 
 QUERIES: dict = {}
 SQL: dict = {}
@@ -98,3 +98,5 @@ shingled AS (
 )"""
 
 _reg("op7_ngram_join", ngram_join.similar_documents, f"WITH RECURSIVE {NGRAM_SQL.replace('{docs}', 'documents')} SELECT doc_id, n_shingles, component_id FROM grouped")
+
+_reg("op10_language_model", language_model.score_documents)
