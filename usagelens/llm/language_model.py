@@ -154,14 +154,13 @@ class Model:
             z = np.exp(self.word + self.pairs[_pair_bucket(np.full(len(every), previous), every)])
             self.norm[previous] = np.log(np.maximum(np.bincount(self.head.classes, z, CLASSES), 1e-300))
 
-    def class_logs(self, features: list[np.ndarray]) -> np.ndarray:
-        """log P(class | history), a row per word."""
-        z = self.bias + self.weights[features[0]]
+    def class_masses(self, features: list[np.ndarray]) -> np.ndarray:
+        """exp of every class's weight sum, a row per word; the weights are bounded, so it cannot overflow."""
+        z = self.weights[features[0]]
+        z += self.bias
         for f in features[1:]:
             z += self.weights[f]
-        z -= z.max(axis=1, keepdims=True)
-        z -= np.log(np.exp(z).sum(axis=1, keepdims=True))
-        return z
+        return np.exp(z, out=z)
 
     def score(self, words: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Natural log probability of every word (without the word factor for tail words), and its place in the head."""
@@ -174,8 +173,8 @@ class Model:
         features, out = _features(one, two), np.empty(len(words))
         for lo in range(0, len(words), _ROWS):
             part = slice(lo, lo + _ROWS)
-            logs = self.class_logs([f[part] for f in features])
-            out[part] = logs[np.arange(len(logs)), own[part]]
+            mass = self.class_masses([f[part] for f in features])
+            out[part] = np.log(mass[np.arange(len(mass)), own[part]] / mass.sum(axis=1))
         known = at < len(self.head.words)
         a, p = at[known], previous[known]
         out[known] += self.word[a] + self.pairs[_pair_bucket(p, a)] - self.norm[p, own[known]]
@@ -294,16 +293,17 @@ def train_model(train: DataFrame, counts: DataFrame, updates: int = UPDATES, hea
         shared_model = spark.sparkContext.broadcast(model)
 
         def expect(out: np.ndarray, words: np.ndarray, bounds: np.ndarray, given=shared_model) -> None:
-            features, sums = _features(*_history(words, bounds)), out.reshape(-1, CLASSES)
+            features, sums = _features(*_history(words, bounds)), out.reshape(CLASSES, -1)
             for lo in range(0, len(words), _ROWS):
                 some = [f[lo : lo + _ROWS] for f in features]
-                p = np.exp(given.value.class_logs(some))
-                for f in some:
-                    order = np.argsort(f, kind="stable")
-                    first = np.flatnonzero(np.diff(f[order], prepend=-1))
-                    sums[f[order[first]]] += np.add.reduceat(p[order], first, axis=0)
-
-        expected = _summed(train, rows, expect).reshape(-1, CLASSES)
+                p = given.value.class_masses(some)
+                p /= p.sum(axis=1, keepdims=True)
+                by_class = np.ascontiguousarray(p.T).astype(np.float64)
+                for f, first, size in zip(some, np.cumsum((0, *FEATURES)), FEATURES):
+                    for c in range(CLASSES):
+                        sums[c, first : first + size] += np.bincount(f - first, by_class[c], size)
+
+        expected = _summed(train, rows, expect).reshape(CLASSES, -1).T
         model.weights += _step(observed, expected, prior, 0.6).astype(np.float32)
         shared_model.unpersist()
     return model

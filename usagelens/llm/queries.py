@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from usagelens.llm import fingerprints, language_model, line_dedup, ngram_join, packing, pii, quality_rules, token_store
+from usagelens.llm import fingerprints, language_model, line_dedup, ngram_join, packing, pieces, pii, quality_classifier, quality_rules, token_store
 
 QUERIES: dict = {}
 SQL: dict = {}
@@ -69,15 +69,15 @@ _reg(
 )
 
 
-def _tokenizer(name: str) -> str:
+def tokenizer(name: str) -> str:
     import public_tokenizers
 
     return public_tokenizers.path(name)
 
 
-_reg("op3_packing", lambda docs: packing.pack(docs, _tokenizer("byte_bpe_50k.json"), with_ids=False))
+_reg("op3_packing", lambda docs: packing.pack(docs, tokenizer("byte_bpe_50k.json"), with_ids=False))
 
-_reg("op5_token_store", lambda docs: token_store.store_and_read(docs, _tokenizer("word_bpe_49k.json")))
+_reg("op5_token_store", lambda docs: token_store.store_and_read(docs, tokenizer("word_bpe_49k.json")))
 
 _reg("op8_fingerprints", fingerprints.compare_with_edits)
 
@@ -100,3 +100,9 @@ shingled AS (
 _reg("op7_ngram_join", ngram_join.similar_documents, f"WITH RECURSIVE {NGRAM_SQL.replace('{docs}', 'documents')} SELECT doc_id, n_shingles, component_id FROM grouped")
 
 _reg("op10_language_model", language_model.score_documents)
+
+QUERIES["op6_quality_classifier"] = lambda spark, sf_dir: quality_classifier.classify(
+    spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet")
+)
+
+_reg("op9_pieces", lambda docs: pieces.encode_and_decode(docs, tokenizer("piece_bpe_32k.model")))
