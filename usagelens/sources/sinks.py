@@ -19,7 +19,7 @@ def iso(ts):
 def export_records_csv(usage: DataFrame, path: str) -> None:
     """One CSV folder with header; quotes only around cells that hold a comma or a quote."""
     out = usage.select(iso(F.col("timestamp")).alias("timestamp"), *EXPORT_COLUMNS)
-    out.write.option("header", "true").option("escape", '"').option("emptyValue", "").mode("overwrite").csv(path)
+    out.write.option("header", "true").option("escape", '"').option("emptyValue", "").option("ignoreLeadingWhiteSpace", "false").option("ignoreTrailingWhiteSpace", "false").mode("overwrite").csv(path)
 
 
 def write_report(report: dict[str, DataFrame], path: str, *, as_json: bool = False) -> None:
