@@ -151,12 +151,12 @@ def _cut_sets(heavy: np.ndarray):
 
 
 def _linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose overlap, summed over the fragments, reaches the threshold."""
+    """The pairs (a, b) whose overlap, summed over the fragments, reaches the threshold, with their components."""
     left = sets.select(F.col("rep").alias("a"), F.col("n").alias("n_a"), "fragment", F.col("segment").alias("seg_a"))
     right = sets.select(F.col("rep").alias("b"), F.col("n").alias("n_b"), "fragment", F.col("segment").alias("seg_b"))
     both = pairs.join(left, "a").join(right, ["b", "fragment"])
-    partial = both.select("a", "b", "n_a", "n_b", F.expr("size(array_intersect(seg_a, seg_b))").alias("common"))
-    return partial.groupBy("a", "b", "n_a", "n_b").agg(F.sum("common").alias("common")).filter("7 * common >= 3 * (n_a + n_b)").select("a", "b")
+    partial = both.select("a", "b", "of_a", "of_b", "n_a", "n_b", F.expr("size(array_intersect(seg_a, seg_b))").alias("common"))
+    return partial.groupBy("a", "b", "of_a", "of_b", "n_a", "n_b").agg(F.sum("common").alias("common")).filter("7 * common >= 3 * (n_a + n_b)").select(*pairs.columns)
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -183,7 +183,19 @@ _DIFFER = " + ".join(f"bit_count(p{i} ^ q{i})" for i in range(PARITY))
 def _may_link(pairs: DataFrame, maps: DataFrame) -> DataFrame:
     """The pairs that their parity maps do not rule out."""
     other = maps.select(F.col("rep").alias("b"), F.col("n").alias("m"), *[F.col(f"p{i}").alias(f"q{i}") for i in range(PARITY)])
-    return pairs.join(maps.withColumnRenamed("rep", "a"), "a").join(other, "b").filter(f"7 * ({_DIFFER}) <= n + m").select("a", "b")
+    return pairs.join(maps.withColumnRenamed("rep", "a"), "a").join(other, "b").filter(f"7 * ({_DIFFER}) <= n + m").select(*pairs.columns)
+
+
+def _regrouped(grouped: DataFrame | None, found: DataFrame) -> DataFrame:
+    """(rep, component) after new links: they join components, so only one edge per pair of components is
+    followed, whatever the number of links, and links of earlier turns are not followed again."""
+    edges = cut_lineage(found.select(F.least("of_a", "of_b").alias("a"), F.greatest("of_a", "of_b").alias("b")).distinct())
+    of_component = components(edges)
+    if grouped is None:
+        return of_component
+    moved = of_component.select(F.col("rep").alias("component"), F.col("component").alias("to"))
+    old = grouped.join(moved, "component", "left").select("rep", F.coalesce("to", "component").alias("component"))
+    return cut_lineage(old.union(of_component.join(grouped, "rep", "left_anti")))
 
 
 def similar_documents(docs: DataFrame) -> DataFrame:
@@ -211,7 +223,7 @@ def similar_documents(docs: DataFrame) -> DataFrame:
 
     maps = sets.filter("fragment = 0").select("rep", "n", *[F.col("parity")[i].alias(f"p{i}") for i in range(PARITY)])
 
-    links, joined = None, posted.withColumn("component", F.col("rep"))
+    grouped, joined = None, posted.withColumn("component", F.col("rep"))
     for turn in range(STARS + 1):
         spread = joined.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("token")
         open_ = joined.join(spread, "token", "left_semi")
@@ -227,10 +239,9 @@ def similar_documents(docs: DataFrame) -> DataFrame:
             few = open_.join(most, "token").filter("component != largest")
             few = few.select("token", F.col("rep").alias("other"), F.col("n").alias("m"), F.col("pos").alias("at"), F.col("component").alias("c"), *[F.col(f"p{i}").alias(f"q{i}") for i in range(PARITY)])
             near = open_.join(few, "token").filter(f"component != c AND 7 * ({_DIFFER}) <= n + m")
-        pairs = near.filter(_ROOM).select(F.least("rep", "other").alias("a"), F.greatest("rep", "other").alias("b")).distinct()
-        found = _linked(cut_lineage(pairs if turn == STARS else _may_link(pairs, maps)), sets)
-        links = cut_lineage(found if links is None else links.union(found))
-        grouped = components(links)
+        ends = F.expr("IF(rep < other, struct(rep AS a, other AS b, component AS of_a, c AS of_b), struct(other AS a, rep AS b, c AS of_a, component AS of_b))")
+        pairs = near.filter(_ROOM).select(ends.alias("e")).select("e.*").distinct()
+        grouped = _regrouped(grouped, _linked(cut_lineage(pairs if turn == STARS else _may_link(pairs, maps)), sets))
         joined = posted.join(grouped, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     of_class = classes.join(grouped, "rep", "left").select("set_id", "n", F.coalesce("component", "rep").alias("component_id"))
     out = signed.join(of_class, ["set_id", "n"], "left")
