@@ -118,12 +118,13 @@ reg(
 )
 _live15 = live_sql([15], "AND model_id NOT LIKE '<%'").replace("GROUP BY model_id, device", "GROUP BY source, model_id, device").replace("SELECT 15::BIGINT AS window_minutes,", "SELECT source,")
 _fl = "source, w AS window_minutes, model_id, device, project, tokens_per_min, messages, cost_per_hour, last_seen, seconds_since_last"
-for _n, _cap in (("fleet_live", None), ("fleet_live_snapshots", 4)):
-    reg(
-        _n,
-        lambda s, d, cap=_cap: M.fleet_live(V.usage(s, d), as_of=AS_OF, cap=cap),
-        q(f"SELECT {_fl} FROM (SELECT * FROM ({_live15}) WHERE seconds_since_last <= 900 QUALIFY row_number() OVER (PARTITION BY source, device ORDER BY seconds_since_last, model_id) <= {_cap or 1000000}) CROSS JOIN (SELECT unnest([1,5,15,60,300,1440])::BIGINT AS w) WHERE seconds_since_last <= w*60"),
-    )
+reg(
+    "fleet_live_snapshots",
+    lambda s, d: M.fleet_live(V.usage(s, d), as_of=AS_OF, cap=4),
+    q(f"SELECT {_fl} FROM (SELECT * FROM ({_live15}) WHERE seconds_since_last <= 900 QUALIFY row_number() OVER (PARTITION BY source, device ORDER BY seconds_since_last, model_id) <= 4) CROSS JOIN (SELECT unnest([1,5,15,60,300,1440])::BIGINT AS w) WHERE seconds_since_last <= w*60"),
+)
+_live = live_sql([1, 5, 15, 60, 300, 1440], "AND model_id NOT LIKE '<%'").replace("GROUP BY model_id, device", "GROUP BY source, model_id, device").replace("AS window_minutes,", "AS w, source,")
+reg("fleet_live", lambda s, d: M.fleet_live(V.usage(s, d), as_of=AS_OF), q(f"SELECT {_fl} FROM ({_live})"))
 reg(
     "fleet_projects",
     lambda s, d: M.fleet_projects(V.usage(s, d)),

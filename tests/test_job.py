@@ -1,10 +1,11 @@
 """Log folders to report, end to end."""
 
+import os
 from datetime import datetime
 
 from pyspark.sql import functions as F
 
-from tests.test_sources import assistant, rollout, user, write
+from tests.test_sources import assistant, context, meta, spent, user, write
 from usagelens.job import run
 from usagelens.sources.tables import read_usage
 
@@ -17,7 +18,9 @@ def test_logs_to_report(spark, tmp_path):
         user("r", "a3", [{"type": "tool_result", "is_error": True, "content": "Permission denied"}], "2024-05-15T11:31:00Z"),
     ])
     write(tmp_path / "a2" / "-w-proj" / "S.jsonl", [assistant("a1", "u1", "m1", "2024-05-15T10:00:00Z"), assistant("z", None, "m9", "2024-05-14T10:00:00Z")])
-    rollout(tmp_path / "b" / "rollout-1.jsonl", "B", [("T1", 100, 20, 50, "2024-05-15T11:50:00Z")])
+    old = {**spent("00:00:00", 80, 20, 50), "timestamp": "2024-05-15T11:50:00Z"}
+    write(tmp_path / "b" / "rollout-1.jsonl", [meta(id="B"), context("T1"), old])
+    os.utime(tmp_path / "b" / "rollout-1.jsonl", (1_600_000_000, 1_600_000_000))  # an old file still counts
     (tmp_path / "t").mkdir()
     (tmp_path / "t" / "local_1.json").write_text('{"cliSessionId": "S", "title": "Build", "titleSource": "auto"}')
     out = str(tmp_path / "out")

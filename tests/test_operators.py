@@ -69,7 +69,7 @@ def test_anchored_windows_equal_sequential_walk(spark, seed):
 
 
 @pytest.mark.parametrize("seed", range(3))
-def test_commit_cost_equals_pointer_walk(spark, seed):
+def test_commit_cost_by_definition(spark, seed):
     rng = random.Random(seed)
     base = NOW - timedelta(days=3)
     commits, rows = [], []
@@ -78,27 +78,14 @@ def test_commit_cost_equals_pointer_walk(spark, seed):
             commits.append((f"/w/p{p}", base + timedelta(minutes=rng.randrange(0, 3000, 5)), f"sha{p}-{i:02d}", "m", "x"))
         for _ in range(200):
             rows.append({"project_dir": f"/w/p{p}", "timestamp": base + timedelta(minutes=rng.randrange(-300, 3000, 5)), "input_tokens": rng.randrange(3), "session_id": f"s{rng.randrange(5)}"})
-    want = {}
-    for p in {r["project_dir"] for r in rows}:
-        recs = sorted((r for r in rows if r["project_dir"] == p), key=lambda r: r["timestamp"])
-        i, prev = 0, None
-        for c in sorted((c for c in commits if c[0] == p), key=lambda c: (c[1], c[2])):
-            low = c[1] - timedelta(hours=4)
-            if prev and prev > low:
-                low = prev
-            tokens, sess = 0, set()
-            while i < len(recs):
-                if recs[i]["timestamp"] <= low:
-                    i += 1
-                    continue
-                if recs[i]["timestamp"] > c[1]:
-                    break
-                tokens += recs[i]["input_tokens"]
-                sess.add(recs[i]["session_id"])
-                i += 1
-            if tokens:
-                want[c[2][:8]] = (tokens, len(sess))
-            prev = c[1]
+    # A record belongs to the first commit of its project at or after it, unless that is four hours away or more.
+    given = {}
+    for r in rows:
+        at, sha = min(((c[1], c[2]) for c in commits if c[0] == r["project_dir"] and c[1] >= r["timestamp"]), default=(None, None))
+        if sha and at - r["timestamp"] < timedelta(hours=4):
+            given.setdefault(sha[:8], []).append(r)
+    want = {sha: (sum(r["input_tokens"] for r in rs), len({r["session_id"] for r in rs})) for sha, rs in given.items()}
+    want = {sha: v for sha, v in want.items() if v[0]}
     cdf = spark.createDataFrame(commits, "project_dir string, timestamp timestamp_ntz, sha string, message string, author string")
     got = J.commit_cost(usage(spark, rows), cdf, as_of=NOW).collect()
     assert {r.sha: (r.tokens, r.sessions) for r in got} == want
@@ -218,6 +205,8 @@ def test_live_row_age_decides_the_window(spark):
     u = usage(spark, [{"ago": minutes(10), "device": "pc", "input_tokens": 5}, {"ago": minutes(2), "device": "mac", "input_tokens": 5}])
     got = {(r.window_minutes, r.device) for r in M.fleet_live(u, as_of=NOW).collect()}
     assert (5, "pc") not in got and (15, "pc") in got and (5, "mac") in got and (1, "mac") not in got
+    old = {(r.window_minutes, r.device) for r in M.fleet_live(usage(spark, [{"ago": minutes(30), "device": "pc"}]), as_of=NOW).collect()}
+    assert old == {(60, "pc"), (300, "pc"), (1440, "pc")}
     now = U.live_now(U.live_active_models(usage(spark, [{"ago": timedelta(seconds=50)}, {"ago": timedelta(seconds=150), "device": "pc"}]), as_of=NOW))
     assert [r.device for r in now.collect()] == ["mac"]
 

@@ -23,6 +23,12 @@ def parse_ts(raw) -> Column:
     return F.coalesce(F.try_to_timestamp(shaped).cast("timestamp_ntz"), F.lit(EPOCH).cast("timestamp_ntz"))
 
 
+def whole_number(c: Column) -> Column:
+    """A count given as a number or as text, as BIGINT; 0 for anything else."""
+    whole = F.coalesce(c.try_cast("bigint"), F.floor(c.try_cast("double")).cast("bigint"))
+    return F.coalesce(whole, F.lit(0).cast("bigint"))
+
+
 def micros(ts) -> Column:
     """Microseconds since the epoch of a TIMESTAMP_NTZ holding UTC."""
     return F.unix_micros(_col(ts).cast("timestamp"))

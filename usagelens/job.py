@@ -8,7 +8,7 @@ from __future__ import annotations
 import argparse
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from usagelens.operators.normalize import latest_rate_limits
 from usagelens.plans.ingest import load_agent_a, load_agent_b
@@ -35,7 +35,9 @@ def run(spark: SparkSession, *, agent_a, agent_b, as_of: str, out: str, keys=(),
     write_usage(reduce(DataFrame.unionByName, [x.usage for x in loaded]), f"{out}/usage")
     usage = read_usage(spark, f"{out}/usage")
     errors = next((x.errors for x in loaded if x.errors is not None), None)
-    intents = reduce(DataFrame.unionByName, [x.intents for x in loaded])
+    # A session that both agents know keeps one intent, so it stays one row of the report.
+    said = reduce(DataFrame.unionByName, [x.intents for x in loaded]).groupBy("session_id")
+    intents = said.agg(F.min_by("intent", F.struct("intent_at", "intent")).alias("intent"), F.min("intent_at").alias("intent_at"))
     names = chat_titles(read_chat_titles(spark, titles)) if titles else None
     report = build_report(usage, as_of=as_of, keys=tuple(keys), errors=errors, intents=intents, titles=names, commits=commits, sections=sections)
     for x in loaded:

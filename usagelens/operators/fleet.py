@@ -143,15 +143,18 @@ def fleet_daily(usage: DataFrame, *, as_of=None, keys=(), last: int = 30) -> Dat
 
 def fleet_recent(usage: DataFrame, *, as_of=None, keys=(), limit: int = 20) -> DataFrame:
     """Newest turns over all devices."""
-    per_device = A.recent_turns(usage, keys=[*keys, "device"], limit=RECENT_MAX)
+    per_device = A.recent_turns(usage, keys=[*keys, "device"], limit=limit)
     return C.top_n(per_device, list(keys), [F.desc("timestamp"), F.asc("turn_id"), F.asc("device")], limit)
 
 
-def fleet_live(usage: DataFrame, *, as_of, keys=("source",), cap: int | None = LIVE_MAX, windows=LIVE_WINDOWS) -> DataFrame:
-    """Live rows of all devices per window, by their age at as_of. With cap=None every
-    live row counts, not only the ones a snapshot would carry."""
-    live = live_rows(usage, as_of=as_of, keys=keys, cap=cap)
-    wide = live.withColumn("window_minutes", F.explode(F.array(*[F.lit(w) for w in windows])))
+def fleet_live(usage: DataFrame, *, as_of, keys=("source",), cap: int | None = None, windows=LIVE_WINDOWS) -> DataFrame:
+    """Real models of all devices, each window from its own records. With `cap` the rows that
+    snapshots carry (that many per device, of the last quarter hour) are shown by their age instead."""
+    if cap is None:
+        wide = U.live_active_models(usage, as_of=as_of, keys=keys, minutes=windows).where(~F.startswith("model_id", F.lit("<")))
+    else:
+        live = live_rows(usage, as_of=as_of, keys=keys, cap=cap)
+        wide = live.withColumn("window_minutes", F.explode(F.array(*[F.lit(w) for w in windows])))
     return wide.where(F.greatest("seconds_since_last", F.lit(0).cast("bigint")) <= F.col("window_minutes") * 60).select(
         *keys, "window_minutes", "model_id", "device", "project", "tokens_per_min", "messages", "cost_per_hour", "last_seen", "seconds_since_last"
     )

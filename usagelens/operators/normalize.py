@@ -56,21 +56,16 @@ def tool_names(blocks) -> Column:
     return F.coalesce(F.transform(uses, lambda b: b["name"]), F.array().cast("array<string>"))
 
 
-def result_text(content: Column) -> Column:
-    """Text of a tool result: a string, or the first block of a list."""
-    listed = F.startswith(content, F.lit("["))
-    return F.coalesce(F.when(listed, F.get_json_object(content, "$[0].text")).otherwise(content), F.lit(""))
-
-
 def truthy(c: Column) -> Column:
     return ~F.lower(F.coalesce(c, F.lit("false"))).isin("false", "0", "", "null", "[]", "{}")
 
 
 def tool_errors(lines: DataFrame, *, as_of=None, keys=()) -> DataFrame:
-    """Tool results flagged as errors, from lines with session_id, timestamp, blocks."""
+    """Tool results flagged as errors, from lines with session_id, timestamp, blocks.
+    A block's content is its text, or that of the first block of a list."""
     flagged = F.filter("blocks", lambda b: (b["type"] == "tool_result") & truthy(b["is_error"]))
     out = lines.select(*keys, "session_id", "timestamp", F.explode(flagged).alias("b"))
-    return with_category(out.withColumn("text", result_text(F.col("b.content")))).drop("b", "text")
+    return with_category(out.withColumn("text", F.coalesce("b.content", F.lit("")))).drop("b", "text")
 
 
 def with_category(errors: DataFrame) -> DataFrame:

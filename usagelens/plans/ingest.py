@@ -34,6 +34,8 @@ def conform(records: DataFrame, source: str, account: str) -> DataFrame:
 
 
 def _read_roots(spark, roots, pattern, as_of, since_days) -> DataFrame:
+    if since_days > 0 and as_of is None:
+        raise ValueError("a look-back of since_days needs as_of")
     tagged = [(SL.read_lines(spark, path, pattern=pattern, as_of=as_of, since_days=since_days), device) for path, device in roots]
     return SL.union_roots(tagged)
 
@@ -42,17 +44,19 @@ def load_agent_a(spark: SparkSession, roots: list[tuple[str, str]], *, account:
     """`roots` are (folder, device); the first is the main one and wins duplicates.
 
     The text is decoded once; what the later steps share is materialized."""
-    parsed = cut_lineage(SA.parse_lines(_read_roots(spark, roots, "*.jsonl", as_of, since_days)))
+    parsed = SA.parse_lines(_read_roots(spark, roots, "*.jsonl", as_of, since_days))
+    parsed = cut_lineage(parsed.withColumns({"account": F.lit(account), "source": F.lit("agent_a")}))
     records = SA.with_turns(SA.usage_records(parsed), resolve_turns(SA.chain_lines(parsed)))
     return Loaded(
         usage=conform(N.dedup_message(records), "agent_a", account),
         intents=N.session_intents(parsed),
-        errors=N.tool_errors(parsed),
+        errors=N.tool_errors(parsed, keys=("account", "source", "device")),
         quality=SA.ingest_quality(parsed),
     )
 
 
-def load_agent_b(spark: SparkSession, roots: list[tuple[str, str]], *, account: str = "", as_of=None, since_days: int = 90) -> Loaded:
+def load_agent_b(spark: SparkSession, roots: list[tuple[str, str]], *, account: str = "", as_of=None, since_days: int = 0) -> Loaded:
+    """All files by default: the job replaces the usage table, so a look-back would drop earlier usage."""
     events = cut_lineage(SB.parse_events(_read_roots(spark, roots, SB.FILE_PATTERN, as_of, since_days)))
     return Loaded(
         usage=conform(N.dedup_replay(SB.usage_records(events)), "agent_b", account),

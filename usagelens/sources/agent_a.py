@@ -2,16 +2,26 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from usagelens.functions import text as S
 from usagelens.operators import normalize as N
 
-_BLOCKS = "array<struct<type: string, text: string, name: string, is_error: string, content: string>>"
+# Content as VARIANT keeps the JSON type: a string may start like a list, and a list may hold other things than blocks.
+_NAME, _CONTENT = (f"try_variant_get(x, '$.{k}', 'variant')" for k in ("name", "content"))
+_BLOCKS = f"""filter(transform(try_variant_get(j.message.content, '$', 'array<variant>'), x -> named_struct(
+  'type', try_variant_get(x, '$.type', 'string'), 'text', try_variant_get(x, '$.text', 'string'),
+  'name', IF(schema_of_variant({_NAME}) = 'STRING', try_variant_get(x, '$.name', 'string'), NULL),
+  'is_error', try_variant_get(x, '$.is_error', 'string'),
+  'content', coalesce(try_variant_get(x, '$.content[0].text', 'string'), IF(schema_of_variant({_CONTENT}) = 'STRING', try_variant_get(x, '$.content', 'string'), NULL))
+)), b -> b.type IS NOT NULL)"""
+_TEXT = "IF(schema_of_variant(j.message.content) = 'STRING', try_variant_get(j.message.content, '$', 'string'), NULL)"
 _USAGE = "struct<input_tokens: string, output_tokens: string, cache_creation_input_tokens: string, cache_read_input_tokens: string>"
 LINE_SCHEMA = (
     "uuid string, parentUuid string, sessionId string, cwd string, gitBranch string, timestamp string, type string, "
-    f"message struct<id: string, role: string, model: string, content: {_BLOCKS}, usage: {_USAGE}>"
+    f"message struct<id: string, role: string, model: string, content: variant, usage: {_USAGE}>"
 )
 
 
@@ -21,12 +31,10 @@ def parse_lines(lines: DataFrame) -> DataFrame:
     parsed = lines.withColumn("j", F.from_json("value", LINE_SCHEMA))
     # A valid object can lack every known field, so only such lines are parsed again.
     known = ["uuid", "parentUuid", "sessionId", "cwd", "gitBranch", "timestamp", "type", "message"]
-    empty = F.coalesce(*[j[k].cast("string") for k in known]).isNull()
+    empty = reduce(Column.__and__, [j[k].isNull() for k in known])
     bad = empty & (~F.startswith(F.ltrim("value"), F.lit("{")) | F.try_parse_json("value").isNull())
     message = j["message"]
-    # Content that is not a list of blocks is a string (or absent).
-    text = F.when(message.isNotNull() & message["content"].isNull(), F.get_json_object("value", "$.message.content"))
-    blocks = message["content"]
+    text, blocks = F.expr(_TEXT), F.expr(_BLOCKS)
     first_text = F.try_element_at(
         F.filter(F.transform(F.filter(blocks, lambda b: b["type"] == "text"), lambda b: b["text"]), lambda t: F.coalesce(t, F.lit("")) != ""),
         F.lit(1),
@@ -48,11 +56,6 @@ def parse_lines(lines: DataFrame) -> DataFrame:
     )
 
 
-def _count(c: Column) -> Column:
-    whole = F.coalesce(c.try_cast("bigint"), F.floor(c.try_cast("double")).cast("bigint"))
-    return F.coalesce(whole, F.lit(0).cast("bigint"))
-
-
 def parent_directory(path) -> Column:
     return F.coalesce(F.try_element_at(F.split(path, "/"), F.lit(-2)), F.lit(""))
 
@@ -66,10 +69,10 @@ def usage_records(parsed: DataFrame) -> DataFrame:
         *passed,
         "timestamp", "session_id", "project_dir", S.project_label("project_dir").alias("project_label"), "git_branch", "model",
         F.coalesce(F.nullif("raw_message_id", F.lit("")), "uuid").alias("message_id"),
-        _count(F.col("usage.input_tokens")).alias("input_tokens"),
-        _count(F.col("usage.output_tokens")).alias("output_tokens"),
-        _count(F.col("usage.cache_creation_input_tokens")).alias("cache_creation_tokens"),
-        _count(F.col("usage.cache_read_input_tokens")).alias("cache_read_tokens"),
+        S.whole_number(F.col("usage.input_tokens")).alias("input_tokens"),
+        S.whole_number(F.col("usage.output_tokens")).alias("output_tokens"),
+        S.whole_number(F.col("usage.cache_creation_input_tokens")).alias("cache_creation_tokens"),
+        S.whole_number(F.col("usage.cache_read_input_tokens")).alias("cache_read_tokens"),
         N.tool_names(F.col("blocks")).alias("tool_names"),
         "source_file", "line_no", "uuid", "parent_uuid",
     )

@@ -19,7 +19,7 @@ _LIMIT = "struct<used_percent: double, resets_at: bigint>"
 EVENT_SCHEMA = (
     "timestamp string, type string, payload struct<id: string, cwd: string, git: struct<branch: string>, model: string, turn_id: string, "
     f"type: string, message: string, text: string, rate_limits: struct<primary: {_LIMIT}, secondary: {_LIMIT}>, "
-    "info: struct<last_token_usage: struct<input_tokens: bigint, cached_input_tokens: bigint, output_tokens: bigint>>>"
+    "info: struct<last_token_usage: map<string, string>>>"
 )
 
 
@@ -31,12 +31,11 @@ def parse_events(lines: DataFrame) -> DataFrame:
     e, p = F.col("e"), F.col("e.payload")
     kind = F.when(e["type"] == "event_msg", p["type"]).otherwise(e["type"])
     use = p["info"]["last_token_usage"]
-    counted = (kind == "token_count") & use.isNotNull()
+    counted = (kind == "token_count") & (F.size(use) > 0)
 
     def when(k, c):
         return F.when(kind == k, F.nullif(c, F.lit("")))
 
-    zero = F.lit(0).cast("bigint")
     out = lines.where(wanted).withColumn("e", F.from_json("value", EVENT_SCHEMA)).where(e["type"].isNotNull())
     return out.select(
         *[c for c in lines.columns if c not in ("value", "source_file")],
@@ -49,9 +48,9 @@ def parse_events(lines: DataFrame) -> DataFrame:
         when("turn_context", p["model"]).alias("ctx_model"),
         when("turn_context", p["turn_id"]).alias("ctx_turn_id"),
         when("user_message", F.coalesce(F.nullif(p["message"], F.lit("")), p["text"])).alias("user_text"),
-        F.when(counted, F.coalesce(use["input_tokens"], zero)).alias("input_tokens"),
-        F.when(counted, F.coalesce(use["cached_input_tokens"], zero)).alias("cached_tokens"),
-        F.when(counted, F.coalesce(use["output_tokens"], zero)).alias("output_tokens"),
+        F.when(counted, S.whole_number(use["input_tokens"])).alias("input_tokens"),
+        F.when(counted, S.whole_number(use["cached_input_tokens"])).alias("cached_tokens"),
+        F.when(counted, S.whole_number(use["output_tokens"])).alias("output_tokens"),
         F.when(kind == "token_count", p["rate_limits"]).alias("limits"),
     )
 
