@@ -277,6 +277,12 @@ def _hand_down(parents: DataFrame, children: DataFrame, width: int) -> DataFrame
 def encode(docs: DataFrame, path: str, chunk: int = CHUNK) -> DataFrame:
     """Pieces of every document in order: doc_id, row, number, ids (little-endian unsigned 32-bit); a text
     of one chunk is one piece with number 0, a giant one has a piece per chunk."""
+    short, giant = _encoded(docs, path, chunk)
+    return short.unionByName(giant)
+
+
+def _encoded(docs: DataFrame, path: str, chunk: int) -> tuple[DataFrame, DataFrame]:
+    """The pieces of the texts of one chunk, and those of giant texts."""
     spark = docs.sparkSession
     importable(spark)
     width = pieces(path).longest
@@ -321,7 +327,7 @@ def encode(docs: DataFrame, path: str, chunk: int = CHUNK) -> DataFrame:
 
     kind = "doc_id long, row long, number long, ids binary"
     giant = chunks.select("doc_id", "row", "number", "part", "size").join(states, ["row", "number"]).select("doc_id", "row", "number", "part", "size", "entry", "leave")
-    return cut.filter("ids IS NOT NULL").select("doc_id", "row", "number", "ids").unionByName(giant.mapInArrow(trace, kind))
+    return cut.filter("ids IS NOT NULL").select("doc_id", "row", "number", "ids"), giant.mapInArrow(trace, kind)
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
@@ -342,7 +348,7 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
 
 def encode_and_decode(docs: DataFrame, path: str, chunk: int = CHUNK) -> DataFrame:
     """Per document: doc_id, n_pieces, n_chunks, ids_crc32 of all its ids, and decoded_sha256 of the decoded text."""
-    encoded = cut_lineage(encode(docs, path, chunk))
+    short, giant = _encoded(docs, path, chunk)
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import hashlib
@@ -356,9 +362,7 @@ def encode_and_decode(docs: DataFrame, path: str, chunk: int = CHUNK) -> DataFra
                 ["doc_id", "n_pieces", "n_chunks", "ids_crc32", "decoded_sha256"],
             )
 
-    # Only giant documents have pieces to bring together.
-    one = encoded.select("doc_id", "row", F.array("ids").alias("parts"), "number")
-    giant = encoded.filter("number > 0").select("row").distinct()
-    short = one.join(giant, "row", "left_anti").select("doc_id", "parts")
-    long = encoded.join(giant, "row", "left_semi").groupBy("doc_id", "row").agg(F.expr("transform(array_sort(collect_list(struct(number, ids))), x -> x.ids)").alias("parts")).select("doc_id", "parts")
-    return short.unionByName(long).mapInArrow(digest, "doc_id long, n_pieces long, n_chunks long, ids_crc32 long, decoded_sha256 string")
+    # Only giant documents have pieces to bring together; the others are never shuffled.
+    whole = giant.groupBy("doc_id", "row").agg(F.expr("transform(array_sort(collect_list(struct(number, ids))), x -> x.ids)").alias("parts"))
+    rows = short.select("doc_id", F.array("ids").alias("parts")).unionByName(whole.select("doc_id", "parts"))
+    return rows.mapInArrow(digest, "doc_id long, n_pieces long, n_chunks long, ids_crc32 long, decoded_sha256 string")
