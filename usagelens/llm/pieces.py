@@ -26,6 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, functions as F
 
 from usagelens.llm.common import importable, slices
@@ -288,7 +289,7 @@ def _encoded(docs: DataFrame, path: str, chunk: int) -> tuple[DataFrame, DataFra
     width = pieces(path).longest
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Short texts encoded; giant ones cut, with the characters that a piece may reach."""
+        """Short texts encoded; giant ones cut (compressed, as they are shuffled), with the characters that a piece may reach."""
         from pyspark import TaskContext
 
         p, row = pieces(path), TaskContext.get().partitionId() << 40
@@ -302,14 +303,14 @@ def _encoded(docs: DataFrame, path: str, chunk: int) -> tuple[DataFrame, DataFra
                     else:
                         for number, lo in enumerate(range(0, len(text), chunk)):
                             part, size = text[lo : lo + chunk + width - 1], min(chunk, len(text) - lo)
-                            out.append((doc, row, number, None, part, size, matrix(p, part, size).tobytes()))
+                            out.append((doc, row, number, None, zstandard.compress(part.encode("utf-8", "surrogatepass")), size, matrix(p, part, size).tobytes()))
                     row += 1
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names)
 
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.string(), pa.int64(), pa.binary()]
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.binary()]
     names = ["doc_id", "row", "number", "ids", "part", "size", "scores"]
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    cut = cut_lineage(rows.mapInArrow(first, "doc_id long, row long, number long, ids binary, part string, size long, scores binary"))
+    cut = cut_lineage(rows.mapInArrow(first, "doc_id long, row long, number long, ids binary, part binary, size long, scores binary"))
 
     chunks = cut.filter("ids IS NULL")
     levels = [chunks.select("row", F.lit(0).alias("level"), "number", "scores")]
@@ -322,7 +323,7 @@ def _encoded(docs: DataFrame, path: str, chunk: int) -> tuple[DataFrame, DataFra
     def trace(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = pieces(path)
         for batch in batches:
-            found = [chunk_ids(p, r["part"], r["entry"], r["leave"], r["size"]).tobytes() for r in batch.to_pylist()]
+            found = [chunk_ids(p, zstandard.decompress(r["part"]).decode("utf-8", "surrogatepass"), r["entry"], r["leave"], r["size"]).tobytes() for r in batch.to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("row"), batch.column("number"), pa.array(found, pa.binary())], ["doc_id", "row", "number", "ids"])
 
     kind = "doc_id long, row long, number long, ids binary"
