@@ -207,7 +207,11 @@ def _trained(docs: DataFrame, votes: dict[str, str], kind: str, labels: DataFram
                 yield pa.RecordBatch.from_arrays([part.column("posterior"), pa.array([f.astype(np.int32) for f, _ in rows], pa.list_(pa.int32())), pa.array([v for _, v in rows], pa.list_(pa.float32()))], ["posterior", "f", "v"])
 
     table = sample.select("text", "posterior").mapInArrow(run, "posterior double, f array<int>, v array<float>").toArrow()
-    rows = [(np.array(f, np.int64), np.array(v, np.float32)) for f, v in zip(table.column("f").to_pylist(), table.column("v").to_pylist(), strict=True)]
+    # Views of the Arrow buffers: as Python lists the sample would take ten times the driver's memory.
+    f, v = (table.column(k).combine_chunks() for k in ("f", "v"))
+    index, value, ends = f.flatten().to_numpy(), v.flatten().to_numpy(), f.offsets.to_numpy()
+    ends = ends - (ends[0] if len(ends) else 0)
+    rows = [(index[lo:hi], value[lo:hi]) for lo, hi in zip(ends[:-1], ends[1:], strict=True)]
     target = table.column("posterior").to_numpy()
     if kind == "words":  # words are many and most say nothing: only the telling ones are fitted
         keep = telling(rows, target)
