@@ -42,7 +42,7 @@ def run(spark: SparkSession, *, agent_a, agent_b, as_of: str, out: str, keys=(),
     report = build_report(usage, as_of=as_of, keys=tuple(keys), errors=errors, intents=intents, titles=names, commits=commits, sections=sections)
     for x in loaded:
         if x.rate_limits is not None:
-            report["rate_limits"] = latest_rate_limits(x.rate_limits)
+            report["rate_limits"] = latest_rate_limits(x.rate_limits, as_of=as_of)
         if x.quality is not None:
             report["ingest_quality"] = x.quality
     write_report(report, f"{out}/report")

@@ -80,7 +80,7 @@ def by_session(
     )
     first_fields = ("project_label", "project_dir", "git_branch")
     grouped = (
-        enrich(usage)
+        C.until(enrich(usage), as_of)
         .withColumn("session_id", S.or_unknown("session_id"))
         .groupBy(*keys, "session_id")
         .agg(
@@ -188,7 +188,7 @@ def by_device(usage: DataFrame, *, as_of, keys=()) -> DataFrame:
         "h1": C.recent(as_of, 10_000),
     }
     aggs = [a for s, cond in scopes.items() for a in C.totals_aggs(cond, s + "_")]
-    wide = enrich(usage).groupBy(*keys, device).agg(*aggs)
+    wide = C.until(enrich(usage), as_of).groupBy(*keys, device).agg(*aggs)
     rows = F.array(*[F.struct(F.lit(s).alias("scope"), *C.totals_out(s + "_")) for s in scopes])
     return wide.select(*keys, "device", F.explode(rows).alias("r")).select(*keys, "device", "r.*")
 
@@ -197,7 +197,7 @@ def by_device_burn(usage: DataFrame, *, as_of, keys=()) -> DataFrame:
     """Burn in $/h per device over each look-back window; idle devices show 0."""
     device = S.or_unknown("device", "pc").alias("device")
     aggs = [C.sum_when("cost_nano", C.recent(as_of, h), f"b_{h}") for _, h in C.BURN_WINDOWS]
-    wide = enrich(usage).groupBy(*keys, device).agg(*aggs)
+    wide = C.until(enrich(usage), as_of).groupBy(*keys, device).agg(*aggs)
     rows = F.array(
         *[
             F.struct(
@@ -215,7 +215,7 @@ def recent_turns(usage: DataFrame, *, as_of=None, keys=(), limit: int | None = 3
     turn = F.coalesce(*[F.nullif(c, F.lit("")) for c in ("turn_id", "message_id", "uuid")])
     first_fields = ("session_id", "project_label", "project_dir", "device")
     out = (
-        enrich(usage)
+        C.until(enrich(usage), as_of)
         .where((F.coalesce("model", F.lit("")) != "") & ~F.startswith("model", F.lit("<")))
         .withColumn("turn_id", turn)
         .where(F.col("turn_id").isNotNull())
@@ -304,7 +304,7 @@ def _recent_errors(errors: DataFrame, as_of, hours: int) -> DataFrame:
 
 
 def errors_summary(errors: DataFrame, *, as_of, keys=(), lookback_hours: int = 24) -> DataFrame:
-    return errors.groupBy(*keys).agg(
+    return C.until(errors, as_of).groupBy(*keys).agg(
         F.lit(lookback_hours).alias("lookback_hours"),
         F.expr(f"count_if({C.recent(as_of, lookback_hours * 10_000)})").alias("total"),
         F.count(F.lit(1)).alias("total_lifetime"),

@@ -41,7 +41,7 @@ def windows_base(usage: DataFrame, keys=(), fold_limit: int = FOLD_LIMIT) -> Dat
 def billing_windows(
     usage: DataFrame, *, as_of=None, keys=(), last_n: int | None = None, fold_limit: int = FOLD_LIMIT
 ) -> DataFrame:
-    base = windows_base(usage, keys, fold_limit)
+    base = windows_base(C.until(usage, as_of), keys, fold_limit)
     if last_n:
         base = C.top_n(base, keys, [F.desc("start_us")], last_n)
     return base.select(
@@ -60,8 +60,9 @@ def window_state(usage: DataFrame, *, as_of, keys=(), plan: str | None = None, l
     """One row per key: inferred plan, past-window percentiles, the last window.
 
     The arrays hold one entry per five-hour window of a key, which calendar time bounds.
+    `windows` as given are those of the records up to as_of.
     """
-    base = windows_base(usage, keys) if windows is None else windows
+    base = windows_base(C.until(usage, as_of), keys) if windows is None else windows
     cutoff = S.micros(C.hours_before(as_of, lookback_days * 240_000))
     last_fields = ("start_us", "total_tokens", "billable_tokens", "cost_e4", "models")
     g = base.groupBy(*keys).agg(
@@ -254,7 +255,7 @@ def burn_rate_zones(usage: DataFrame, *, as_of, keys=(), windows=None) -> DataFr
 def burn_cents(usage: DataFrame, as_of, keys, hours_e4: int, alias: str = "rate_c") -> DataFrame:
     """Cents per hour over one look-back window; every key keeps a row."""
     e = enrich(usage)
-    e = e if keys else C.since(e, as_of, hours_e4)
+    e = C.until(e, as_of) if keys else C.since(e, as_of, hours_e4)
     sums = e.groupBy(*keys).agg(C.sum_when("cost_nano", C.recent(as_of, hours_e4), "_nano"))
     return sums.select(*keys, X.per_hour_cents("_nano", F.lit(hours_e4)).alias(alias))
 

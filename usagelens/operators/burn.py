@@ -17,8 +17,7 @@ def _window_sums(usage: DataFrame, as_of, keys) -> DataFrame:
     """Cost per key and look-back window from one pass of conditional sums. Without keys
     only the longest window is read; with keys idle ones keep their zero rows."""
     e = enrich(usage)
-    if not keys:
-        e = C.since(e, as_of, max(h for _, h in C.BURN_WINDOWS))
+    e = C.until(e, as_of) if keys else C.since(e, as_of, max(h for _, h in C.BURN_WINDOWS))
     aggs = [C.sum_when("cost_nano", C.recent(as_of, h), f"b_{h}") for _, h in C.BURN_WINDOWS]
     wide = e.groupBy(*keys).agg(*aggs)
     rows = F.array(
@@ -56,7 +55,7 @@ def live_burn_rate(costs: DataFrame, *, as_of, keys=(), hours: str = "2") -> Dat
     """Rate from per-minute costs at the reader's own clock."""
     h = dict(C.BURN_WINDOWS)[hours]
     e4 = F.round(F.col("cost") * 10_000).cast("bigint")
-    inside = F.col("minute") >= C.hours_before(as_of, h)
+    inside = (F.col("minute") >= C.hours_before(as_of, h)) & (F.col("minute") <= C.as_ts(as_of))
     g = costs.groupBy(*keys).agg(F.coalesce(F.sum(F.when(inside, e4)), F.lit(0)).alias("_e4"))
     return g.select(*keys, F.lit(hours).alias("window_hours"), X.scaled(X.round_div(X.wide("_e4") * 100, h), 2).alias("cost_per_hour"))
 

@@ -49,17 +49,28 @@ def hours_before(as_of, hours_e4: int) -> Column:
 
 
 def recent(as_of, hours_e4: int) -> str:
-    """SQL condition of the look-back window; it has no upper bound."""
-    return f"timestamp >= {cutoff(as_of, hours_e4)}"
+    """SQL condition of the look-back window, which ends at as_of."""
+    return f"(timestamp >= {cutoff(as_of, hours_e4)} AND timestamp <= {cutoff(as_of, 0)})"
+
+
+def until(df: DataFrame, as_of) -> DataFrame:
+    """Rows known at as_of: later ones drop out, those without a time stay; all rows without as_of.
+    The date predicate lets a table partitioned by date skip the partitions after it."""
+    if as_of is None:
+        return df
+    cond = f"(timestamp <= {cutoff(as_of, 0)} OR timestamp IS NULL)"
+    if "date" in df.columns:
+        cond = f"(date <= DATE '{moment(as_of).date()}' OR date IS NULL) AND {cond}"
+    return df.where(cond)
 
 
 def since(df: DataFrame, as_of, hours_e4: int) -> DataFrame:
     """Rows of the look-back window. The date predicate lets a table partitioned by date
-    skip the partitions before it."""
+    skip the partitions outside it."""
     cond = recent(as_of, hours_e4)
     if "date" in df.columns:
         day = (moment(as_of) - timedelta(microseconds=hours_e4 * 360_000)).date()
-        cond = f"date >= DATE '{day}' AND {cond}"
+        cond = f"date BETWEEN DATE '{day}' AND DATE '{moment(as_of).date()}' AND {cond}"
     return df.where(cond)
 
 

@@ -42,7 +42,7 @@ def fuel_state(usage: DataFrame, commits: DataFrame | None, *, as_of, keys=(), p
     """One wide row per key with everything the efficiency rows need."""
     keys = list(keys)
     cut7, cut30 = _bounds(as_of)
-    e = enrich(usage)
+    e = C.until(enrich(usage), as_of)
     tot = e.groupBy(*keys).agg(
         F.sum("cost_nano").alias("cost_nano"), F.count(F.lit(1)).alias("messages"),
         *[F.sum(c).alias(c) for c in ("cache_read_tokens", "input_tokens", "cache_creation_tokens")],
@@ -146,7 +146,7 @@ def trend(usage: DataFrame, *, as_of, keys=()) -> DataFrame:
     """Last seven days against the days before, back to 30: cost per active day and cache hits."""
     keys = list(keys)
     cut7, cut30 = _bounds(as_of)
-    e = enrich(usage)
+    e = C.until(enrich(usage), as_of)
     d = F.col("date")
     recent, prior = d >= cut7, (d < cut7) & (d >= cut30)
     read = F.col("cache_read_tokens")

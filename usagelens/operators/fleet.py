@@ -32,7 +32,7 @@ def _e4(c):
 def device_summary(usage: DataFrame, *, as_of, keys=DEVICE) -> DataFrame:
     """Scalars of one device and source."""
     keys = list(keys)
-    e = enrich(usage)
+    e = C.until(enrich(usage), as_of)
     tot = e.groupBy(*keys).agg(
         *C.totals_aggs(), C.sum_when("cost_nano", C.recent(as_of, 20_000), "_two"), F.max("timestamp").alias("last_seen")
     )
@@ -62,7 +62,7 @@ def live_rows(usage: DataFrame, *, as_of, keys=("source",), cap: int | None = No
 def device_snapshot(usage: DataFrame, *, as_of, keys=DEVICE, titles: DataFrame | None = None) -> DataFrame:
     """Metadata-only summary per device and source with bounded lists."""
     keys = list(keys)
-    e = enrich(usage)
+    e = C.until(enrich(usage), as_of)
 
     def listed(df, name, fields, order):
         return df.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(*order, *fields))).alias(name))
@@ -136,14 +136,14 @@ def fleet_cache(usage: DataFrame, *, as_of=None, keys=("source",)) -> DataFrame:
 
 def fleet_daily(usage: DataFrame, *, as_of=None, keys=(), last: int = 30) -> DataFrame:
     """Cost per date over devices, newest dates."""
-    per_device = A.daily_base(usage, [*keys, "device"])
+    per_device = A.daily_base(C.until(usage, as_of), [*keys, "device"])
     days = per_device.groupBy(*keys, "date").agg(F.sum("cost_e4").alias("_e4"), F.count_distinct("device").alias("devices"))
     return C.top_n(days, list(keys), [F.desc("date")], last).select(*keys, "date", X.scaled("_e4", 4).alias("cost_usd"), "devices")
 
 
 def fleet_recent(usage: DataFrame, *, as_of=None, keys=(), limit: int = 20) -> DataFrame:
     """Newest turns over all devices."""
-    per_device = A.recent_turns(usage, keys=[*keys, "device"], limit=limit)
+    per_device = A.recent_turns(usage, as_of=as_of, keys=[*keys, "device"], limit=limit)
     return C.top_n(per_device, list(keys), [F.desc("timestamp"), F.asc("turn_id"), F.asc("device")], limit)
 
 

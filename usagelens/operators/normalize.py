@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from usagelens.functions import text as S
+from usagelens.operators import common as C
 
 
 def _first_per(df: DataFrame, key, order) -> DataFrame:
@@ -76,4 +77,4 @@ def latest_rate_limits(limits: DataFrame, *, as_of=None, keys=("device",), order
     """Last limit event per device that carries a primary limit."""
     fields = [c for c in limits.columns if c not in keys]
     last = F.max_by(F.struct(*fields), F.struct(*order)).alias("r")
-    return limits.where(F.col("primary_pct").isNotNull()).groupBy(*keys).agg(last).select(*keys, "r.*")
+    return C.until(limits, as_of).where(F.col("primary_pct").isNotNull()).groupBy(*keys).agg(last).select(*keys, "r.*")

@@ -21,14 +21,14 @@ def _money(cents) -> Column:
 
 
 def _level_parts(usage: DataFrame, limits: DataFrame, as_of, keys, limit_keys, preferred_device) -> DataFrame:
-    e = enrich(usage)
+    e = C.until(enrich(usage), as_of)
     zones = B.zones_from_state(B.window_state(e, as_of=as_of, keys=keys), keys).select(*keys, "heavy_c")
     burn = B.burn_cents(e, as_of, keys, 20_000)
     daily = A.daily_base(e, keys)
     cents = lambda c: F.round(F.col(c) * 100).cast("bigint")
     week = T.weekly_cap(e, as_of=as_of, keys=keys, daily=daily).select(*keys, cents("rolling_7day_cost").alias("week_c"), cents("p95_7row_cost").alias("p95_c"))
     month = T.projections(T.forecast_base(e, as_of=as_of, keys=keys, daily=daily), as_of, keys).select(*keys, F.col("month_projected_eom_c").alias("eom_c"))
-    newest = N.latest_rate_limits(limits, keys=(*limit_keys, "device"))
+    newest = N.latest_rate_limits(limits, as_of=as_of, keys=(*limit_keys, "device"))
     if preferred_device:
         newest = newest.where(F.col("device") == preferred_device)
     used = newest.groupBy(*limit_keys).agg(F.max(F.greatest("primary_pct", "secondary_pct")).alias("used_pct"))
@@ -82,7 +82,7 @@ def alert_crossings(levels: DataFrame, *, as_of=None, keys=("source",), order=("
 def status_fields(usage: DataFrame, errors: DataFrame, *, as_of, keys=()) -> DataFrame:
     """The one-line status: zone, model, rate, time left, errors, cache, today's cost."""
     keys = list(keys)
-    e = enrich(usage)
+    e = C.until(enrich(usage), as_of)
     state = B.window_state(e, as_of=as_of, keys=keys)
     zones = B.zones_from_state(state, keys)
     zones = B._with_progress(zones, as_of)
@@ -113,7 +113,7 @@ def status_fields(usage: DataFrame, errors: DataFrame, *, as_of, keys=()) -> Dat
 
 def today_vs_baseline(usage: DataFrame, *, as_of, keys=()) -> DataFrame:
     """Today's cost against the daily P50 and P90; needs three days."""
-    daily = A.daily_base(usage, keys)
+    daily = A.daily_base(C.until(usage, as_of), keys)
     base = T.baseline(usage, keys=keys, daily=daily)
     today = daily.groupBy(*keys).agg(F.sum(F.when(F.col("date") == C.as_date(as_of), F.col("cost_e4"))).alias("today_e4"))
     s = C.null_safe_join(base, today, keys)
@@ -143,7 +143,7 @@ def budget_status(usage: DataFrame, budgets: DataFrame, *, as_of, keys=("source"
 
 def limit_severity(limits: DataFrame, *, as_of, keys=("device",), order=("timestamp", "line_no")) -> DataFrame:
     """Severity and time to reset of the newest primary and secondary limits, long form."""
-    newest = N.latest_rate_limits(limits, keys=keys, order=order)
+    newest = N.latest_rate_limits(limits, as_of=as_of, keys=keys, order=order)
     rows = F.array(*[F.struct(F.lit(k).alias("limit"), F.col(k + "_pct").alias("used_pct"), F.col(k + "_resets_at").alias("resets_at")) for k in ("primary", "secondary")])
     r = newest.select(*keys, F.explode(rows).alias("r")).select(*keys, "r.*")
     pct = F.coalesce("used_pct", F.lit(0))

@@ -19,6 +19,7 @@ DAY_US = 24 * C.US_PER_HOUR
 
 
 def _daily(usage: DataFrame, keys, daily: DataFrame | None) -> DataFrame:
+    """`daily` as given holds records up to as_of only, as `usage` does here."""
     return daily_base(usage, keys) if daily is None else daily
 
 
@@ -29,7 +30,7 @@ def _sum_when(cond, value):
 def weekly_cap(usage: DataFrame, *, as_of, keys=(), daily: DataFrame | None = None) -> DataFrame:
     """Last seven calendar days against the seven before and against all sums over
     seven active rows (days without data do not count towards those)."""
-    d = _daily(usage, keys, daily)
+    d = _daily(C.until(usage, as_of), keys, daily)
     w7 = Window.partitionBy(*keys).orderBy("date").rowsBetween(-6, 0)
     d = d.withColumns({"_sum7": F.sum("cost_e4").over(w7), "_n7": F.count("cost_e4").over(w7)})
     today = C.as_date(as_of)
@@ -152,7 +153,7 @@ def active_hours(usage: DataFrame, *, as_of, keys=(), days: int = 7) -> DataFram
 
 def daily_burn_rates(usage: DataFrame, *, as_of, keys=(), days_back: int = 90) -> DataFrame:
     """Cost per active hour of each day."""
-    recent = enrich(usage).where(F.col("date") >= F.date_sub(C.as_date(as_of), days_back))
+    recent = C.until(enrich(usage), as_of).where(F.col("date") >= F.date_sub(C.as_date(as_of), days_back))
     g = _active_slots(recent, keys).groupBy(*keys, "date").agg(
         F.count(F.lit(1)).alias("slots"), F.sum("cost_nano").alias("cost_nano"), F.sum("total_tokens").alias("tokens")
     )
@@ -172,7 +173,7 @@ def burn_rate_timeseries(usage: DataFrame, *, as_of, keys=(), widths=SERIES_WIDT
     age = end_us - S.micros("timestamp")
     # The bar edges belong to the later bar, except as_of itself, which closes the last one.
     back = F.when(age == 0, 0).otherwise(F.call_function("div", age - 1, F.lit(C.US_PER_HOUR)))
-    recent = C.since(enrich(usage), as_of, hours * 10_000).where(age >= 0)
+    recent = C.since(enrich(usage), as_of, hours * 10_000)
     hourly = recent.groupBy(*keys, back.cast("int").alias("_back")).agg(
         F.sum("cost_nano").alias("cost_nano"), F.sum("total_tokens").alias("tokens"), F.count(F.lit(1)).alias("records")
     )
@@ -187,7 +188,7 @@ def burn_rate_timeseries(usage: DataFrame, *, as_of, keys=(), widths=SERIES_WIDT
     )
     cells = F.array(*[F.lit(w * bars + b) for w in widths for b in range(bars)])
     if keys:
-        frame = usage.select(*keys).distinct().select(*keys, F.explode(cells).alias("_cell"))
+        frame = C.until(usage, as_of).select(*keys).distinct().select(*keys, F.explode(cells).alias("_cell"))
     else:
         frame = usage.sparkSession.range(1).select(F.explode(cells).alias("_cell"))
     out = frame.join(rolled, [*keys, "_cell"], "left").fillna(0, ["cost_nano", "tokens", "records"])
@@ -232,7 +233,7 @@ def _calendar(as_of):
 def forecast_base(usage: DataFrame, *, as_of, keys=(), daily: DataFrame | None = None) -> DataFrame:
     """Sums so far in e4 and twice the median of the last seven active days."""
     cal = _calendar(as_of)
-    d = _daily(usage, keys, daily)
+    d = _daily(C.until(usage, as_of), keys, daily)
     def total(start, alias):
         return C.sum_when("cost_e4", f"date >= DATE '{cal[start]}' AND date <= DATE '{cal['today']}'", alias)
 

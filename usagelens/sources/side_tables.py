@@ -42,8 +42,9 @@ def parse_commit_log(lines: DataFrame) -> DataFrame:
 
 
 def commits_source(commits: DataFrame, *, as_of, keys=(), since_days: int = 14) -> DataFrame:
-    """Commits of the last days, merges left out where the table marks them."""
-    recent = commits.where(F.col("timestamp") >= as_ts(as_of) - F.make_dt_interval(days=F.lit(since_days)))
+    """Commits of the days up to as_of, merges left out where the table marks them."""
+    at = F.col("timestamp")
+    recent = commits.where((at >= as_ts(as_of) - F.make_dt_interval(days=F.lit(since_days))) & (at <= as_ts(as_of)))
     if "is_merge" in commits.columns:
         recent = recent.where(~F.col("is_merge"))
     return recent.withColumn("message", F.substring("message", 1, MESSAGE_CHARS))
