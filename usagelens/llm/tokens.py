@@ -2,8 +2,9 @@
 
 A text is cut where the tokenizer's own first step cuts it in any case, so encoding the parts and
 joining the ids gives the ids of the whole text. The parts seen so far are kept with their ids, up to
-`KEEP` parts, then the table starts anew; that bounds memory and changes no id. Special tokens that
-occur in a text are ordinary text.
+`KEEP` parts, then the table starts anew; that bounds memory and changes no id. As in the library, a
+tokenizer's added tokens (such as <|endoftext|>) that occur in a text are found first, as written there,
+and are one id each; what stands between them is cut as a text of its own.
 """
 
 from __future__ import annotations
@@ -35,6 +36,15 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        added = self.tokenizer.get_added_tokens_decoder()
+        if any(x.normalized or x.lstrip or x.rstrip or x.single_word or not x.special for x in added.values()):
+            raise ValueError(f"{path}: added tokens that are not found as written")
+        #: Added tokens as parts: no part of a text begins with a line feed and goes on with a sign or letter.
+        self.added = {"\n" + x.content: [i] for i, x in added.items()}
+        self.names = [x.content for x in added.values()]
+        # The longest of those that begin at a place counts.
+        self.cut = re.compile("(" + "|".join(map(re.escape, sorted(self.names, key=len, reverse=True))) + ")").split
+        # Parts hold none as written; one that lower-casing makes is ordinary text.
         self.tokenizer.encode_special_tokens = True
         self.size = self.tokenizer.get_vocab_size()
         # Byte-level tokenizers keep the blank with the word; the others drop white space.
@@ -70,7 +80,7 @@ class Encoder:
         parts = [x for x, p in zip(parts, plain, strict=True) if p] + [x for x, p in zip(parts, plain, strict=True) if not p]
         n = sum(plain)
         found = [self._together(parts[lo : min(n, lo + 4096)]) for lo in range(0, n, 4096)]
-        rest = [x.ids for x in self.tokenizer.encode_batch_fast(parts[n:], add_special_tokens=False)]
+        rest = [self.added.get(part, x.ids) for part, x in zip(parts[n:], self.tokenizer.encode_batch_fast(parts[n:], add_special_tokens=False), strict=True)]
         found.append((np.fromiter(itertools.chain.from_iterable(rest), np.uint32), np.fromiter(map(len, rest), np.int64, len(rest))))
         ids, sizes = (np.concatenate(x) for x in zip(*found, strict=True))
         at, end = len(self.known), self.used + len(ids)
@@ -96,11 +106,17 @@ class Encoder:
         at = np.cumsum(size) - size
         return self.ids[np.repeat(self.starts[index] - at, size) + np.arange(int(size.sum()))], size
 
+    def _all_parts(self, text: str) -> list[str]:
+        if not any(x in text for x in self.names):
+            return self.parts(text)
+        between = self.cut(text)
+        return [part for i, x in enumerate(between) for part in (["\n" + x] if i % 2 else self.parts(x))]
+
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts one after the other, and each text's bounds in them."""
         parts, counts = [], np.zeros(len(texts) + 1, np.int64)
         for i, text in enumerate(texts):
-            found = self.parts(text)
+            found = self._all_parts(text)
             parts += found
             counts[i + 1] = len(found)
         ids, sizes = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
