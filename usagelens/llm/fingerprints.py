@@ -5,8 +5,9 @@ the character under the pointer, and then moves the pointer by one or not, also
 Two texts at a small edit distance write strings at a small Hamming distance, because walks that part
 after an edit soon meet again. To be independent of what stands before an edit and to bound the work, a text
 is cut into chunks where its content says so (at most `LONGEST` characters apart) and every chunk is
-walked by itself. Sample k of a fingerprint takes the chunk whose opening characters hash lowest for k, and
-of that chunk's string the symbol at a fixed step: so a fingerprint has `SAMPLES` hexadecimal digits
+walked by itself, to its last character and from there anew. Sample k of a fingerprint takes the chunk
+whose opening characters hash lowest for k, and of that chunk's string the symbol at a step that k and the
+opening draw from the k-th of `SAMPLES` stretches of the whole walk: so every character can be read, and a fingerprint has `SAMPLES` hexadecimal digits
 whatever the text's length, equal texts have equal ones, and the share of equal digits, less the 1/16 that
 chance gives, is the likeness of two texts.
 
@@ -31,15 +32,16 @@ from usagelens.llm.common import importable, mix, sampled_cuts
 SAMPLES = 64
 #: One place in this many ends a chunk, and no chunk is longer than LONGEST.
 CHUNK, LONGEST = 128, 1024
-#: Steps of a walk; it uses about half as many characters.
-STEPS = 192
+#: Steps of a walk, by half octaves, so a small edit seldom changes them. A walk over n characters takes 2n
+#: steps on average, with a deviation of sqrt(2n): six deviations more bring it to the end.
+_REACHES = np.unique(np.round(2.0 ** (np.arange(8, 2 * 12) / 2))).astype(np.int64)
 #: Characters that decide on a cut, and that name a chunk.
 LOOK, OPENING = 6, 8
 #: Code points handled at once, about.
 _SLICE = 2_000_000
 
 _SEEDS = mix(np.arange(1, SAMPLES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-_STEP = mix(np.arange(STEPS, dtype=np.uint64) + np.uint64(0xC0FFEE)) | np.uint64(1)
+_STEP = mix(np.arange(_REACHES[-1], dtype=np.uint64) + np.uint64(0xC0FFEE)) | np.uint64(1)
 
 
 def _window(codes: np.ndarray, size: int) -> np.ndarray:
@@ -63,16 +65,25 @@ def _chunks(codes: np.ndarray, o: np.ndarray) -> np.ndarray:
     return np.repeat(starts, parts) + (np.arange(int(parts.sum())) - np.repeat(at, parts)) * LONGEST
 
 
-def _walks(codes: np.ndarray, starts: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """The strings that the walks over some chunks write: one row of hexadecimal digits each."""
-    out = np.empty((STEPS, len(starts)), np.uint8)
+def _reach(size: np.ndarray) -> np.ndarray:
+    """Steps of the walks over chunks of some sizes."""
+    return _REACHES[np.searchsorted(_REACHES, 2 * size + 6 * np.sqrt(2 * size))]
+
+
+def _walks(codes: np.ndarray, starts: np.ndarray, size: np.ndarray, reach: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The strings that the walks over some chunks write, as hexadecimal digits: all digits of a step stand
+    together, in the order of the chunks, which come by descending `reach`; and where each step begins."""
     at = np.zeros(len(starts), np.int64)
-    for j in range(STEPS):
-        seen = (codes[starts + at] + np.uint64(j)) * _STEP[j]
-        out[j] = (seen >> np.uint64(59)).astype(np.uint8) >> 1
-        at += ((seen >> np.uint64(40)) & np.uint64(1)).astype(np.int64)
-        at[at == size] = 0
-    return out
+    active = np.searchsorted(-reach, -np.arange(int(reach[0])), side="left")
+    begins = np.concatenate([[0], np.cumsum(active)])
+    out = np.empty(int(begins[-1]), np.uint8)
+    for j, n in enumerate(active.tolist()):
+        here = at[:n]
+        seen = (codes[starts[:n] + here] + np.uint64(j)) * _STEP[j]
+        out[begins[j] : begins[j + 1]] = seen >> np.uint64(60)
+        here += ((seen >> np.uint64(40)) & np.uint64(1)).astype(np.int64)
+        here[here == size[:n]] = 0
+    return out, begins
 
 
 def _slice_digits(codes: np.ndarray, o: np.ndarray) -> np.ndarray:
@@ -96,15 +107,18 @@ def _slice_digits(codes: np.ndarray, o: np.ndarray) -> np.ndarray:
         low = np.flatnonzero(rank == np.repeat(np.minimum.reduceat(rank, first), count))
         chosen[:, k] = low[np.searchsorted(low, first)]
     used, index = np.unique(chosen, return_inverse=True)
-    index = index.reshape(chosen.shape)
-    reach = np.minimum(STEPS, 1 << np.ceil(np.log2(np.maximum(size[used], 2))).astype(np.int64))
-    step = (np.arange(SAMPLES) * reach[index]) // SAMPLES
+    by_reach = np.argsort(-_reach(size[used]), kind="stable")
+    used, index = used[by_reach], np.argsort(by_reach)[index.reshape(chosen.shape)]
+    reach = _reach(size[used])
+    # Twenty drawn bits say where in its stretch of the walk a sample is.
+    drawn = (mix((name[chosen] ^ _SEEDS) + np.uint64(1)) >> np.uint64(44)).astype(np.int64)
+    step = (((np.arange(SAMPLES) << 20) + drawn) * reach[index] >> 20) // SAMPLES
     walked = np.empty((len(full), SAMPLES), np.uint8)
     for lo in range(0, len(used), 1 << 15):
         part = slice(lo, lo + (1 << 15))
-        written = _walks(codes, starts[used[part]], size[used[part]])
+        written, begins = _walks(codes, starts[used[part]], size[used[part]], reach[part])
         here = (index >= lo) & (index < lo + (1 << 15))
-        walked[here] = written[step[here], index[here] - lo]
+        walked[here] = written[begins[step[here]] + index[here] - lo]
     digits[full] = walked
     return digits
 
