@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from usagelens.llm import fingerprints, language_model, line_dedup, ngram_join, packing, pieces, pii, quality_classifier, quality_rules, token_store
+from usagelens.llm import bpe, fingerprints, language_model, line_dedup, ngram_join, packing, pieces, pii, quality_classifier, quality_rules, token_store
 
 QUERIES: dict = {}
 SQL: dict = {}
@@ -106,3 +106,5 @@ QUERIES["op6_quality_classifier"] = lambda spark, sf_dir: quality_classifier.cla
 )
 
 _reg("op9_pieces", lambda docs: pieces.encode_and_decode(docs, tokenizer("piece_bpe_32k.model")))
+
+_reg("op13_bpe", lambda docs: bpe.round_trip(docs, tokenizer("word_bpe_49k.json")))
