@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from usagelens.llm import bpe, fingerprints, language_model, line_dedup, ngram_join, packing, pieces, pii, quality_classifier, quality_rules, token_store
+from usagelens.llm import bpe, fingerprints, language_model, lexical_search, line_dedup, ngram_join, packing, pieces, pii, quality_classifier, quality_rules, token_store
 
 QUERIES: dict = {}
 SQL: dict = {}
@@ -108,3 +108,26 @@ QUERIES["op6_quality_classifier"] = lambda spark, sf_dir: quality_classifier.cla
 _reg("op9_pieces", lambda docs: pieces.encode_and_decode(docs, tokenizer("piece_bpe_32k.model")))
 
 _reg("op13_bpe", lambda docs: bpe.round_trip(docs, tokenizer("word_bpe_49k.json")))
+
+SEARCH_SQL = r"""
+folded AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS t FROM documents
+), asked AS (
+  SELECT item_id, term, count(*) AS times FROM (
+    SELECT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark
+  ) GROUP BY item_id, term
+), corpus AS (
+  SELECT count(*) AS docs, CAST(sum(len(t)) AS BIGINT) AS all_terms FROM folded WHERE len(t) > 0
+), tfs AS (
+  SELECT r, term, count(*) AS tf FROM (SELECT r, unnest(t) AS term FROM folded) WHERE term IN (SELECT term FROM asked) GROUP BY r, term
+), weights AS (
+  SELECT term, CAST(floor(1000 * ln(CAST(2 * docs + 2 AS DOUBLE) / CAST(2 * df + 1 AS DOUBLE))) AS BIGINT) AS w FROM (SELECT term, count(*) AS df FROM tfs GROUP BY term), corpus
+), scores AS (
+  SELECT item_id, r, CAST(sum(times * w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * len(t) * docs) // all_terms)))) AS BIGINT) AS score
+  FROM asked JOIN tfs USING (term) JOIN weights USING (term) JOIN folded USING (r), corpus GROUP BY item_id, r
+), ranked AS (
+  SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score FROM scores JOIN folded USING (r) WHERE score > 0
+)"""
+
+QUERIES["op12_lexical_search"] = lambda spark, sf_dir: lexical_search.search(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+SQL["op12_lexical_search"] = f"WITH {SEARCH_SQL} SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 20"
