@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from usagelens.llm import bpe, fingerprints, language_model, lexical_search, line_dedup, ngram_join, packing, pieces, pii, quality_classifier, quality_rules, token_store
+from usagelens.llm import bpe, fingerprints, language_model, lexical_search, line_dedup, ngram_join, packing, pieces, pii, quality_classifier, quality_rules, token_store, whitening
 
 QUERIES: dict = {}
 SQL: dict = {}
@@ -131,3 +131,5 @@ folded AS (
 
 QUERIES["op12_lexical_search"] = lambda spark, sf_dir: lexical_search.search(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 SQL["op12_lexical_search"] = f"WITH {SEARCH_SQL} SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 20"
+
+QUERIES["op11_embedding_whitening"] = lambda spark, sf_dir: whitening.whitened_rows(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
