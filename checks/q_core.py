@@ -41,22 +41,22 @@ reg(
     .select("model", "records", *[(F.col("p." + f) / 1000.0).alias(f + "_per_mtok") for f in P.PRICE_FIELDS]),
     q("""SELECT model, count(*) AS records, any_value(p_in)::DOUBLE/1000.0 AS input_per_mtok, any_value(p_out)::DOUBLE/1000.0 AS output_per_mtok,
       any_value(p_read)::DOUBLE/1000.0 AS cache_read_per_mtok, any_value(p_w5)::DOUBLE/1000.0 AS cache_write_5m_per_mtok,
-      any_value(p_w1)::DOUBLE/1000.0 AS cache_write_1h_per_mtok FROM u GROUP BY model"""),
+      any_value(p_w1)::DOUBLE/1000.0 AS cache_write_1h_per_mtok FROM u_all GROUP BY model"""),
 )
 reg(
     "cost",
     lambda spark, sf: P.with_price(usage(spark, sf)).select("event_id", "family", P.cost_nano().alias("cost_nano"), P.cost_nano("1h").alias("cost_nano_1h")),
-    q("SELECT event_id, family, cost_nano, cost_nano_1h FROM u"),
+    q("SELECT event_id, family, cost_nano, cost_nano_1h FROM u_all"),
 )
 reg(
     "effective_tokens",
     lambda spark, sf: enrich(usage(spark, sf)).groupBy("model").agg(F.sum("effective_tokens").alias("effective_tokens"), F.count(F.lit(1)).alias("records")),
-    q("SELECT model, sum(effective_tokens)::BIGINT AS effective_tokens, count(*) AS records FROM u GROUP BY model"),
+    q("SELECT model, sum(effective_tokens)::BIGINT AS effective_tokens, count(*) AS records FROM u_all GROUP BY model"),
 )
 reg(
     "cache_hit_rate",
     lambda spark, sf: A.totals(usage(spark, sf), keys=["account"]).select("account", "cache_hit_rate"),
-    q(f"SELECT account, {hit()} AS cache_hit_rate FROM (SELECT account, {tsums()} FROM u GROUP BY account)"),
+    q(f"SELECT account, {hit()} AS cache_hit_rate FROM (SELECT account, {tsums()} FROM u_all GROUP BY account)"),
 )
 
 DISPLAY = r"""CASE WHEN model = '' THEN '—' WHEN model LIKE '<%' THEN replace(replace(model,'<',''),'>','')
@@ -120,10 +120,10 @@ reg(
 reg(
     "percentile_linear",
     lambda spark, sf: exact_percentiles(enrich(usage(spark, sf)), "total_tokens", (50, 90, 99), keys=["source"]).select("source", *[X.scaled(f"p{p}_x100", 2).alias(f"p{p}") for p in (50, 90, 99)], "samples"),
-    q(f"""SELECT source, count(*) AS samples, {', '.join(f"round(quantile_cont(total_tokens::DOUBLE, {p/100}), 2) AS p{p}" for p in (50, 90, 99))} FROM u GROUP BY source"""),
+    q(f"""SELECT source, count(*) AS samples, {', '.join(f"round(quantile_cont(total_tokens::DOUBLE, {p/100}), 2) AS p{p}" for p in (50, 90, 99))} FROM u_all GROUP BY source"""),
 )
 
-TOOLS = "SELECT t.tool, o.output_tokens, len(o.names) AS k, o.account FROM (SELECT account, output_tokens, CASE WHEN tools = '' THEN ['(no tool)'] ELSE string_split(tools, ',') END AS names FROM usage_all) o, LATERAL (SELECT unnest(o.names) AS tool) t"
+TOOLS = "SELECT t.tool, o.output_tokens, len(o.names) AS k, o.account FROM (SELECT account, output_tokens, CASE WHEN tools = '' THEN ['(no tool)'] ELSE string_split(tools, ',') END AS names FROM u) o, LATERAL (SELECT unnest(o.names) AS tool) t"
 TOOL_SUMS = f"SELECT tool, count(*) AS calls, {big('sum(output_tokens * (2520 // k)) // 2520')} AS approx_output_tokens FROM ({TOOLS}) GROUP BY tool"
 reg("by_tool", on_usage(A.by_tool), q(TOOL_SUMS))
 reg(

@@ -13,7 +13,7 @@ from checks.q_sources import ASSISTANT
 from checks.q_time import live_sql
 from checks.registry import reg
 from checks.sqlkit import NOW, TODAY, big, cte, hit, pct, q, ratio, rd, sc, sorted_list, tout, ts, tsums, us, usd4
-from usagelens.operators import aggregates as A, billing as B, fleet as M
+from usagelens.operators import aggregates as A, billing as B, common as C, fleet as M
 from usagelens.plans.report import build_report
 from usagelens.session import shared_dir
 from usagelens.sources import sinks as SK
@@ -76,7 +76,7 @@ FLEET = f"""source, count(DISTINCT device) AS devices, count(*) FILTER (WHERE bu
   {big('sum(total_tokens)')} AS lifetime_tokens, {big('sum(messages)')} AS record_count, {sc(rd('sum(hit_e4::HUGEINT*messages)', 'sum(messages)'), 4)} AS cache_hit_rate"""
 reg("fleet_totals", lambda s, d: M.fleet_totals(summary(s, d)), q(f"SELECT {FLEET} FROM sum_ds GROUP BY source"))
 for _s in ("agent_a", "agent_b"):
-    cte(f"pz_{_s}", f"SELECT DISTINCT timestamp AS ts FROM usage_all WHERE source = '{_s}' AND device = 'dev0'")
+    cte(f"pz_{_s}", f"SELECT DISTINCT timestamp AS ts FROM u WHERE source = '{_s}' AND device = 'dev0'")
     cte(f"succz_{_s}", f"SELECT * FROM (SELECT ts, min(ts) OVER (ORDER BY ts RANGE BETWEEN INTERVAL 5 HOUR FOLLOWING AND UNBOUNDED FOLLOWING) AS nx FROM pz_{_s}) WHERE nx IS NOT NULL")
     cte(f"sz_{_s}", f"SELECT min(ts) AS ts FROM pz_{_s} UNION ALL SELECT n.nx FROM sz_{_s} s JOIN succz_{_s} n ON n.ts = s.ts")
     cte(f"wz_{_s}", f"SELECT ts, (sum(cost_nano)+50000)//100000 AS cost_e4, sum(billable_tokens) AS bill, sum(total_tokens)::BIGINT AS tok FROM (SELECT * FROM u WHERE source = '{_s}' AND device = 'dev0') r ASOF JOIN sz_{_s} s ON r.timestamp >= s.ts GROUP BY ts")
@@ -100,19 +100,19 @@ reg(
 )
 reg(
     "fleet_cache",
-    lambda s, d: M.fleet_cache(V.usage(s, d)),
+    lambda s, d: M.fleet_cache(V.usage(s, d), as_of=AS_OF),
     q(f"""SELECT source, {sc('sum(a)', 2)} AS usd_saved, {sc('sum(b)', 2)} AS usd_on_cache, {sc('sum(c)', 2)} AS full_equiv_usd, {ratio('sum(a)', 'sum(c)', 4)} AS discount_pct
       FROM (SELECT device, source, {rd(_c['saved'], 10000000)} AS a, {rd(_c['on_c'], 10000000)} AS b, {rd(_c['saved'] + '+' + _c['on_c'], 10000000)} AS c FROM u GROUP BY {DS}) GROUP BY source"""),
 )
 cte("daily_dev", f"SELECT device, date, (sum(cost_nano)+50000)//100000 AS e4 FROM u GROUP BY device, date")
 reg(
     "fleet_daily",
-    lambda s, d: M.fleet_daily(V.usage(s, d), last=20),
+    lambda s, d: M.fleet_daily(V.usage(s, d), as_of=AS_OF, last=20),
     q(f"SELECT CAST(date AS VARCHAR) AS date, {sc('sum(e4)', 4)} AS cost_usd, count(DISTINCT device) AS devices FROM daily_dev GROUP BY daily_dev.date ORDER BY daily_dev.date DESC LIMIT 20"),
 )
 reg(
     "fleet_recent",
-    lambda s, d: M.fleet_recent(V.usage(s, d)).select("device", "turn_id", "timestamp", "total_tokens", "cost_usd", "effective_tokens"),
+    lambda s, d: M.fleet_recent(V.usage(s, d), as_of=AS_OF).select("device", "turn_id", "timestamp", "total_tokens", "cost_usd", "effective_tokens"),
     q(f"""SELECT device, turn_id, {ts('lt')} AS timestamp, total_tokens, {usd4('cost_nano')} AS cost_usd, eff AS effective_tokens
       FROM (SELECT device, turn_id, {tsums()}, sum(effective_tokens)::BIGINT AS eff, max(timestamp) AS lt FROM u WHERE model <> '' AND model NOT LIKE '<%' GROUP BY device, turn_id) ORDER BY lt DESC, turn_id, device LIMIT 20"""),
 )
@@ -127,7 +127,7 @@ _live = live_sql([1, 5, 15, 60, 300, 1440], "AND model_id NOT LIKE '<%'").replac
 reg("fleet_live", lambda s, d: M.fleet_live(V.usage(s, d), as_of=AS_OF), q(f"SELECT {_fl} FROM ({_live})"))
 reg(
     "fleet_projects",
-    lambda s, d: M.fleet_projects(V.usage(s, d)),
+    lambda s, d: M.fleet_projects(V.usage(s, d), as_of=AS_OF),
     q(f"""SELECT project_label, {sc('sum(e4)', 4)} AS cost_usd, sum(t)::BIGINT AS tokens, sum(m)::BIGINT AS messages, count(DISTINCT device) AS devices, CASE WHEN count(DISTINCT project_dir) = 1 THEN max(project_dir) END AS project_dir
       FROM (SELECT device, project_dir, any_value(project_label) AS project_label, (sum(cost_nano)+50000)//100000 AS e4, sum(total_tokens) AS t, count(*) AS m FROM u GROUP BY device, project_dir) GROUP BY project_label ORDER BY sum(e4) DESC, project_label LIMIT 12"""),
 )
@@ -141,7 +141,7 @@ reg(
 # The same by account, where idle and offline occur.
 reg(
     "account_freshness",
-    lambda s, d: M.device_freshness(V.usage(s, d).groupBy("account").agg(F.max("timestamp").alias("last_seen")), as_of=AS_OF, keys=["account"]),
+    lambda s, d: M.device_freshness(C.until(V.usage(s, d), AS_OF).groupBy("account").agg(F.max("timestamp").alias("last_seen")), as_of=AS_OF, keys=["account"]),
     q(f"SELECT account, {ts('t')} AS last_seen, {big(_age + ' // 1000000')} AS age_seconds, CASE WHEN {_age} < 360000000 THEN 'online' WHEN {_age} < 86400000000 THEN 'idle' ELSE 'offline' END AS state FROM (SELECT account, max(timestamp) AS t FROM u GROUP BY account)"),
 )
 reg(
@@ -228,18 +228,18 @@ reg(
     q(f"SELECT CASE WHEN event_id % 7 <> 0 THEN message_id ELSE 'e' || event_id END AS message_id, {ts('timestamp')} AS timestamp, session_id, input_tokens, output_tokens FROM usage_all WHERE {ASSISTANT}"),
 )
 # One trigger drains the table, so the last ten minutes stay open and nothing is late.
-CLOSED = "(SELECT max(timestamp) - INTERVAL 10 MINUTE FROM u)"
+CLOSED = "(SELECT max(timestamp) - INTERVAL 10 MINUTE FROM u_all)"
 reg(
     "stream_minute_costs",
     lambda s, d: drained(s, RB.stream_minute_costs(usage_stream(s, d)), "minutes"),
     q(f"""SELECT {ts('minute')} AS minute, source, device, model, {usd4('sum(cost_nano)')} AS cost, sum(total_tokens)::BIGINT AS tokens, count(*) AS records
-      FROM (SELECT *, date_trunc('minute', timestamp) AS minute FROM u) WHERE minute + INTERVAL 1 MINUTE <= {CLOSED} GROUP BY minute, source, device, model"""),
+      FROM (SELECT *, date_trunc('minute', timestamp) AS minute FROM u_all) WHERE minute + INTERVAL 1 MINUTE <= {CLOSED} GROUP BY minute, source, device, model"""),
 )
 reg(
     "stream_burn",
     lambda s, d: drained(s, RB.stream_burn(usage_stream(s, d)), "burn"),
     q(f"""SELECT {ts('ws')} AS window_start, {ts('ws + INTERVAL 2 HOUR')} AS window_end, source, device, {rate('sum(cost_nano)', '20000')} AS cost_per_hour
-      FROM (SELECT u.*, time_bucket(INTERVAL 5 MINUTE, timestamp) - k * INTERVAL 5 MINUTE AS ws FROM u CROSS JOIN (SELECT unnest(range(24)) AS k)) WHERE ws + INTERVAL 2 HOUR <= {CLOSED} GROUP BY ws, source, device"""),
+      FROM (SELECT u.*, time_bucket(INTERVAL 5 MINUTE, timestamp) - k * INTERVAL 5 MINUTE AS ws FROM u_all AS u CROSS JOIN (SELECT unnest(range(24)) AS k)) WHERE ws + INTERVAL 2 HOUR <= {CLOSED} GROUP BY ws, source, device"""),
 )
 
 

@@ -41,6 +41,8 @@ def limits(spark, sf):
     })
 
 
+cte("limits_known", f"SELECT * FROM rate_limits WHERE timestamp <= {NOW}")
+
 # --- errors ------------------------------------------------------------------------------
 
 DAY = f"timestamp >= {NOW} - INTERVAL 24 HOUR"
@@ -61,7 +63,7 @@ reg(
 
 # Intervals (previous commit, commit], cut at four hours; one commit per project and instant.
 cte("spans", f"""SELECT *, greatest(coalesce(lag(timestamp) OVER (PARTITION BY project_dir ORDER BY timestamp), TIMESTAMP '1970-01-01'), timestamp - INTERVAL 4 HOUR) AS lo
-  FROM (SELECT project_dir, timestamp, min(sha) AS sha, arg_min(message, sha) AS message, arg_min(author, sha) AS author FROM commits WHERE timestamp >= {NOW} - INTERVAL 14 DAY GROUP BY project_dir, timestamp)""")
+  FROM (SELECT project_dir, timestamp, min(sha) AS sha, arg_min(message, sha) AS message, arg_min(author, sha) AS author FROM commits WHERE timestamp >= {NOW} - INTERVAL 14 DAY AND timestamp <= {NOW} GROUP BY project_dir, timestamp)""")
 cte("matched", """SELECT *, (nano+50000)//100000 AS e4 FROM (SELECT s.project_dir, s.timestamp, any_value(s.sha) AS sha, any_value(s.message) AS message, any_value(s.author) AS author,
     sum(u.total_tokens)::BIGINT AS tokens, sum(u.cost_nano) AS nano, count(DISTINCT u.session_id) AS sessions
   FROM spans s JOIN u ON u.project_dir = s.project_dir AND u.timestamp > s.lo AND u.timestamp <= s.timestamp GROUP BY s.project_dir, s.timestamp) WHERE tokens > 0""")
@@ -78,7 +80,7 @@ TURNS3 = f"""SELECT *, row_number() OVER (PARTITION BY account ORDER BY last_ts
 reg(
     "enrich_titles",
     lambda s, d: J.enrich_titles(
-        A.recent_turns(V.usage(s, d), keys=["account"], limit=3).select("account", "turn_id", "timestamp", "total_tokens", "cost_usd"),
+        A.recent_turns(V.usage(s, d), as_of=AS_OF, keys=["account"], limit=3).select("account", "turn_id", "timestamp", "total_tokens", "cost_usd"),
         V.view(s, d, "chat_titles_raw"), keys=["account"]),
     q(f"SELECT t.account, turn_id, {ts('last_ts')} AS timestamp, total_tokens, {usd4('cost_nano')} AS cost_usd, c.title AS chat FROM ({TURNS3}) t LEFT JOIN chat_titles_raw c ON c.account = t.account WHERE rn <= 3"),
 )
@@ -155,8 +157,8 @@ reg(
     q(f"""SELECT device, "limit", used_pct, CASE WHEN used_pct >= 90 THEN 'bad' WHEN used_pct >= 70 THEN 'warn' ELSE 'good' END AS severity,
         CASE WHEN reset_at = 0 THEN '' WHEN rest >= 3600 THEN (rest // 3600) || 'h ' || (rest % 3600 // 60) || 'm' ELSE (rest // 60) || 'm' END AS resets_in
       FROM (SELECT *, greatest(reset_at - {us(NOW)} // 1000000, 0) AS rest FROM (
-        SELECT device, 'primary' AS "limit", primary_pct AS used_pct, {us('timestamp')} // 1000000 + event_id % 18000 AS reset_at FROM rate_limits QUALIFY row_number() OVER (PARTITION BY device ORDER BY timestamp DESC, event_id DESC) = 1
-        UNION ALL SELECT device, 'secondary', secondary_pct, CASE WHEN event_id % 3 = 0 THEN 0 ELSE {us('timestamp')} // 1000000 + event_id % 18000 + 86400 END FROM rate_limits QUALIFY row_number() OVER (PARTITION BY device ORDER BY timestamp DESC, event_id DESC) = 1))"""),
+        SELECT device, 'primary' AS "limit", primary_pct AS used_pct, {us('timestamp')} // 1000000 + event_id % 18000 AS reset_at FROM limits_known QUALIFY row_number() OVER (PARTITION BY device ORDER BY timestamp DESC, event_id DESC) = 1
+        UNION ALL SELECT device, 'secondary', secondary_pct, CASE WHEN event_id % 3 = 0 THEN 0 ELSE {us('timestamp')} // 1000000 + event_id % 18000 + 86400 END FROM limits_known QUALIFY row_number() OVER (PARTITION BY device ORDER BY timestamp DESC, event_id DESC) = 1))"""),
 )
 BUDGET = "1 + (c_custkey * 37) % 90"
 
@@ -208,7 +210,7 @@ reg("status_fields", lambda s, d: L_.status_fields(V.usage(s, d), errors(s, d),
 # Windows, caps and projections per source, for the alert levels.
 for _s in ("agent_a", "agent_b"):
     _u = f"(SELECT * FROM u WHERE source = '{_s}')"
-    cte(f"pts_{_s}", f"SELECT DISTINCT timestamp AS ts FROM usage_all WHERE source = '{_s}'")
+    cte(f"pts_{_s}", f"SELECT DISTINCT timestamp AS ts FROM u WHERE source = '{_s}'")
     cte(f"succ_{_s}", f"SELECT * FROM (SELECT ts, min(ts) OVER (ORDER BY ts RANGE BETWEEN INTERVAL 5 HOUR FOLLOWING AND UNBOUNDED FOLLOWING) AS nx FROM pts_{_s}) WHERE nx IS NOT NULL")
     cte(f"st_{_s}", f"SELECT min(ts) AS ts FROM pts_{_s} UNION ALL SELECT n.nx FROM st_{_s} s JOIN succ_{_s} n ON n.ts = s.ts")
     cte(f"win_{_s}", f"SELECT ts, (sum(cost_nano)+50000)//100000 AS cost_e4, sum(billable_tokens) AS bill, sum(total_tokens)::BIGINT AS tok FROM {_u} r ASOF JOIN st_{_s} s ON r.timestamp >= s.ts GROUP BY ts")
@@ -229,7 +231,7 @@ def money(c):
 
 
 def alert_sql(s, limited):
-    used = "(SELECT max(greatest(primary_pct, secondary_pct)) FROM (SELECT * FROM rate_limits QUALIFY row_number() OVER (PARTITION BY device ORDER BY timestamp DESC, event_id DESC) = 1))" if limited else "0"
+    used = "(SELECT max(greatest(primary_pct, secondary_pct)) FROM (SELECT * FROM limits_known QUALIFY row_number() OVER (PARTITION BY device ORDER BY timestamp DESC, event_id DESC) = 1))" if limited else "0"
     rc = f"(SELECT {rd('10000::HUGEINT*n', '20000::HUGEINT*10000000')} FROM (SELECT coalesce(sum(cost_nano),0) AS n FROM u WHERE source = '{s}' AND timestamp >= {NOW} - INTERVAL 2 HOUR))"
     first = "CASE WHEN used >= 95 THEN 3 WHEN used >= 85 THEN 2 ELSE 0 END" if limited else "CASE WHEN 10*rc >= 16*heavy THEN 2 ELSE 0 END"
     text = "'limit at ' || used || '%'" if limited else f"'burn at ' || {money('rc')} || '/h'"

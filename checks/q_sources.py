@@ -17,7 +17,7 @@ from usagelens.sources import agent_a as SA, agent_b as SB, lines as SL, side_ta
 GOOD = "event_id % 97 <> 0 AND event_id % 89 <> 0"
 FILE = L.FILE_A
 ASSISTANT = f"{GOOD} AND event_type NOT IN ('error', 'signup')"
-ERRORS = f"""SELECT session_id, {ts('timestamp')} AS timestamp, category, replace(substr(text, 1, 160), chr(10), ' ') AS snippet FROM error_rows"""
+ERRORS = f"""SELECT session_id, {ts('timestamp')} AS timestamp, category, replace(substr(text, 1, 160), chr(10), ' ') AS snippet FROM error_all"""
 RULES = (
     ("file_not_found", "lower(text) LIKE '%no such file%' OR lower(text) LIKE '%file not found%' OR lower(text) LIKE '%no file at%'"),
     ("permission_denied", "lower(text) LIKE '%permission denied%'"),
@@ -30,7 +30,8 @@ RULES = (
     ("rate_limited", "lower(text) LIKE '%rate limit%' OR lower(text) LIKE '%rate!_limit%' ESCAPE '!'"),
 )
 CATEGORY = "CASE " + " ".join(f"WHEN {c} THEN '{n}'" for n, c in RULES) + " ELSE 'other_error' END"
-cte("error_rows", f"SELECT *, {CATEGORY} AS category FROM error_texts")
+cte("error_all", f"SELECT *, {CATEGORY} AS category FROM error_texts")
+cte("error_rows", f"SELECT * FROM error_all WHERE timestamp <= {NOW}")
 
 
 def parsed_a(spark, sf):
@@ -58,7 +59,7 @@ reg("tool_errors", lambda spark, sf: N.tool_errors(parsed_a(spark, sf)), q(f"{ER
 reg(
     "classify_error",
     lambda spark, sf: N.with_category(V.view(spark, sf, "error_texts")).groupBy("text", "category").agg(F.count(F.lit(1)).alias("errors")),
-    q("SELECT text, category, count(*) AS errors FROM error_rows GROUP BY text, category"),
+    q("SELECT text, category, count(*) AS errors FROM error_all GROUP BY text, category"),
 )
 reg(
     "tool_names",
@@ -200,7 +201,7 @@ reg(
     "commits_source",
     lambda spark, sf: ST.commits_source(ST.parse_commit_log(commit_log(spark, sf)), as_of=V.AS_OF),
     q(f"""SELECT project_dir, sha, {ts("date_trunc('second', timestamp)")} AS timestamp, substr(repeat(concat(message, ' '), 20), 1, 90) AS message, author FROM commits
-      WHERE date_trunc('second', timestamp) >= {NOW} - INTERVAL 14 DAY"""),
+      WHERE date_trunc('second', timestamp) BETWEEN {NOW} - INTERVAL 14 DAY AND {NOW}"""),
 )
 
 # --- duplicates, turns, intents, limits ----------------------------------------------------

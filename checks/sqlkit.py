@@ -139,7 +139,7 @@ FAMILY = """CASE WHEN {m} LIKE '%opus%' THEN 'opus' WHEN {m} LIKE '%sonnet%' THE
   WHEN {m} LIKE '%gpt-5.5%' OR {m} LIKE '%gpt5.5%' THEN 'gpt-5.5' WHEN {m} LIKE '%gpt-5.4%' OR {m} LIKE '%gpt5.4%' THEN 'gpt-5.4'
   WHEN {m} LIKE '%gpt%' OR {m} LIKE 'o1%' OR {m} LIKE 'o3%' OR {m} LIKE 'o4%' THEN 'gpt-5.5' ELSE 'unknown' END"""
 
-cte("u", f"""
+cte("u_all", f"""
 SELECT a.*, p.*, input_tokens+output_tokens+cache_creation_tokens AS billable_tokens,
   input_tokens+output_tokens+cache_creation_tokens+cache_read_tokens AS total_tokens,
   input_tokens*p_in + output_tokens*p_out + cache_read_tokens*p_read + cache_creation_tokens*p_w5 AS cost_nano,
@@ -149,11 +149,14 @@ SELECT a.*, p.*, input_tokens+output_tokens+cache_creation_tokens AS billable_to
   CAST(timestamp AS DATE) AS date, coalesce(nullif(model,''),'unknown') AS model_id
 FROM usage_all a JOIN prices p ON p.family = {FAMILY.format(m='lower(model)')}""")
 
+# What is known at as_of.
+cte("u", f"SELECT * FROM u_all WHERE timestamp <= {NOW}")
+
 # One set of keyed CTEs per grouping: none and per account.
 for _s, _k in (("", []), ("_acc", ["account"])):
     _g = _k[0] if _k else "0"
     cte(f"daily{_s}", f"SELECT *, (cost_nano+50000)//100000 AS cost_e4 FROM (SELECT {g(_k)} date, {tsums()} FROM u {group(_k, 'date')})")
-    cte(f"points{_s}", f"SELECT DISTINCT {_g} AS g, timestamp AS ts FROM usage_all")
+    cte(f"points{_s}", f"SELECT DISTINCT {_g} AS g, timestamp AS ts FROM u")
     cte(f"succ{_s}", f"SELECT * FROM (SELECT g, ts, min(ts) OVER (PARTITION BY g ORDER BY ts RANGE BETWEEN INTERVAL 5 HOUR FOLLOWING AND UNBOUNDED FOLLOWING) AS nx FROM points{_s}) WHERE nx IS NOT NULL")
     cte(f"starts{_s}", f"""SELECT g, min(ts) AS ts FROM points{_s} GROUP BY g
       UNION ALL SELECT n.g, n.nx FROM starts{_s} s JOIN succ{_s} n ON n.g = s.g AND n.ts = s.ts""")

@@ -36,7 +36,7 @@ SELECT event_id, ts AS timestamp,
   CASE event_type WHEN 'click' THEN 'Read' WHEN 'purchase' THEN 'Edit,Bash'
     WHEN 'view' THEN 'mcp__db__query,Read,Grep' ELSE '' END AS tools,
   event_type
-FROM {events} WHERE ts <= TIMESTAMP '2024-01-30 18:00:00'""",
+FROM {events}""",
     "usage_replayed": """
 SELECT event_id, timestamp, turn_id, input_tokens, output_tokens, cache_read_tokens, message_id, 0 AS root_rank FROM {usage_all}
 UNION ALL
@@ -47,15 +47,15 @@ SELECT event_id, concat('u', CAST(user_id AS STRING), '-', substr(CAST(ts AS STR
     WHEN 2 THEN 'bash: x: command not found' WHEN 3 THEN 'request timed out' WHEN 4 THEN 'Traceback (most recent call)'
     WHEN 5 THEN 'process ended with exit code 1' WHEN 6 THEN 'string not found in file' WHEN 7 THEN 'output exceeds maximum'
     WHEN 8 THEN 'rate limit hit' WHEN 9 THEN 'permission denied, exit code 126' WHEN 10 THEN '' ELSE 'boom' END AS text
-FROM {events} WHERE event_type = 'error' AND ts <= TIMESTAMP '2024-01-30 18:00:00'""",
+FROM {events} WHERE event_type = 'error'""",
     "commits": """
 SELECT concat('/work/p', CAST(user_id % 12 AS STRING)) AS project_dir, ts AS timestamp,
   concat('c', CAST(event_id AS STRING)) AS sha, event_type AS message, concat('u', CAST(user_id AS STRING)) AS author
-FROM {events} WHERE event_type = 'signup' AND event_id % 7 = 0 AND ts <= TIMESTAMP '2024-01-30 18:00:00'""",
+FROM {events} WHERE event_type = 'signup'""",
     "rate_limits": """
 SELECT concat('dev', CAST(user_id % 4 AS STRING)) AS device, ts AS timestamp, event_id,
   {K} AS primary_pct, event_id % 101 AS secondary_pct
-FROM {events} WHERE user_id % 3 = 2 AND event_type = 'view' AND ts <= TIMESTAMP '2024-01-30 18:00:00'""",
+FROM {events} WHERE user_id % 3 = 2 AND event_type = 'view'""",
     "token_count_events": """
 SELECT concat('f', CAST(user_id AS STRING)) AS file, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS line_no,
   ts AS timestamp,
@@ -66,7 +66,7 @@ FROM {events} WHERE user_id % 3 = 2""",
     "chat_titles_raw": """
 SELECT concat('u', CAST(c_custkey AS STRING)) AS account, c_name AS title,
   CASE WHEN c_custkey % 2 = 0 THEN 'user' ELSE 'auto' END AS title_source
-FROM {customer} WHERE c_custkey % 3 <> 0""",
+FROM {customer}""",
     "turn_chain": """
 SELECT concat('conv', CAST(conv_id AS STRING)) AS file,
   concat(CAST(conv_id AS STRING), ':', CAST(turn AS STRING)) AS uuid,

@@ -11,11 +11,12 @@ from usagelens.operators import aggregates as A, billing as B, burn as U, effici
 from usagelens.sources.side_tables import commits_source
 
 ON_USAGE = [
-    A.by_session, A.by_device, A.by_device_burn, A.recent_turns, B.billing_windows, B.plan_inference, B.window_baseline, B.current_window, B.block_eta,
+    A.totals, A.daily, A.by_model, A.by_model_full, A.by_project, A.by_tool, A.tool_labels, A.usage_heatmap, A.cache_efficiency, A.top_models,
+    T.daily_anomalies, T.baseline, M.fleet_cache, M.fleet_projects, A.by_session, A.by_device, A.by_device_burn, A.recent_turns, B.billing_windows, B.plan_inference, B.window_baseline, B.current_window, B.block_eta,
     B.burn_rate_zones, B.gauge_zone, T.weekly_cap, T.active_hours, T.daily_burn_rates, T.burn_rate_timeseries, T.forecast, U.burn_rates_by_hours,
     U.burn_by_model, U.recent_costs, U.live_active_models, E.fuel_efficiency, E.trend, M.fleet_daily, M.fleet_recent, L.today_vs_baseline,
 ]
-BY_DEVICE = [M.device_summary, M.device_snapshot, M.live_rows, M.fleet_live, M.fleet_burn_windows]
+BY_DEVICE = [M.device_summary, M.device_snapshot, M.live_rows, M.fleet_live, M.fleet_burn_windows, M.fleet_cache, M.fleet_projects]
 
 
 @pytest.fixture(scope="module")

@@ -150,8 +150,8 @@ def test_billing_window_of_one_record(spark):
     w = B.current_window(u, as_of=NOW).first()
     assert w.active and w.elapsed_seconds == 1800 and w.remaining_seconds == 16200 and w.projected_close_tokens == 10_000 and w.verdict_kind == "neutral"
     assert not B.current_window(u, as_of=NOW + timedelta(hours=5)).first().active
-    future = B.current_window(u, as_of=NOW - timedelta(hours=2)).first()
-    assert future.active and future.elapsed_seconds == 0 and future.cost_per_hour == 0
+    # A record after as_of is not known yet.
+    assert B.current_window(u, as_of=NOW - timedelta(hours=2)).first() is None or not B.current_window(u, as_of=NOW - timedelta(hours=2)).first().active
 
 
 def test_no_records(spark):

@@ -10,7 +10,7 @@ from usagelens.schema import enrich
 
 
 def totals(usage: DataFrame, *, as_of=None, keys=()) -> DataFrame:
-    return enrich(usage).groupBy(*keys).agg(*C.totals_aggs()).select(*keys, *C.totals_out())
+    return C.until(enrich(usage), as_of).groupBy(*keys).agg(*C.totals_aggs()).select(*keys, *C.totals_out())
 
 
 def daily_base(usage: DataFrame, keys=()) -> DataFrame:
@@ -24,11 +24,11 @@ def daily_base(usage: DataFrame, keys=()) -> DataFrame:
 
 
 def daily(usage: DataFrame, *, as_of=None, keys=()) -> DataFrame:
-    return daily_base(usage, keys).select(*keys, "date", *C.totals_out()).orderBy(*keys, "date")
+    return daily_base(C.until(usage, as_of), keys).select(*keys, "date", *C.totals_out()).orderBy(*keys, "date")
 
 
 def by_model(usage: DataFrame, *, as_of=None, keys=()) -> DataFrame:
-    out = enrich(usage).groupBy(*keys, F.col("family").alias("model_family")).agg(*C.totals_aggs())
+    out = C.until(enrich(usage), as_of).groupBy(*keys, F.col("family").alias("model_family")).agg(*C.totals_aggs())
     return out.select(*keys, "model_family", *C.totals_out()).orderBy(*keys, "model_family")
 
 
@@ -37,7 +37,7 @@ def _by_model_full(usage: DataFrame, keys) -> DataFrame:
 
 
 def by_model_full(usage: DataFrame, *, as_of=None, keys=()) -> DataFrame:
-    out = _by_model_full(usage, keys).select(*keys, "model_id", *C.totals_out())
+    out = _by_model_full(C.until(usage, as_of), keys).select(*keys, "model_id", *C.totals_out())
     return out.orderBy(*keys, F.desc("cost_usd"), "model_id")
 
 
@@ -46,7 +46,7 @@ def by_project(usage: DataFrame, *, as_of=None, keys=(), top: int | None = None)
         F.nullif("project_dir", F.lit("")), F.nullif("project_label", F.lit("")), F.lit("unknown")
     )
     out = (
-        enrich(usage)
+        C.until(enrich(usage), as_of)
         .withColumn("_project", project)
         .groupBy(*keys, "_project")
         .agg(*C.totals_aggs(), F.max_by("project_label", C.record_order()).alias("_label"))
@@ -124,6 +124,9 @@ def by_session(
     return out
 
 
+_LIMB = 1_000_000_000
+
+
 def tool_sums(usage: DataFrame, keys=()) -> DataFrame:
     """Calls and output tokens per tool, a record's output split evenly over its calls.
 
@@ -142,31 +145,26 @@ def tool_sums(usage: DataFrame, keys=()) -> DataFrame:
         .groupBy(*keys, "tool", "_size")
         .agg(F.sum("_n").alias("_n"), F.sum("_out").alias("_out"))
     )
-    # floor(sum(out/size)): whole parts, then the remainders over 2520 = lcm(1..10).
-    small = F.col("_size") <= 10
-    rest = F.col("_out") % F.col("_size")
-    sums = per_size.groupBy(*keys, "tool").agg(
-        F.sum("_n").alias("calls"),
-        F.sum(F.call_function("div", F.col("_out"), F.col("_size").cast("bigint"))).alias("_whole"),
-        F.coalesce(F.sum(F.when(small, rest * F.call_function("div", F.lit(2520), F.col("_size")))), F.lit(0)).alias("_s"),
-        F.coalesce(F.sum(F.when(~small, rest / F.col("_size"))), F.lit(0.0)).alias("_l"),
-    )
-    extra = F.floor((F.col("_s") % 2520) / 2520.0 + F.col("_l") + 1e-9)
-    return sums.select(
-        *keys,
-        "tool",
-        "calls",
-        (F.col("_whole") + F.call_function("div", F.col("_s"), F.lit(2520)) + extra).cast("bigint").alias("approx_output_tokens"),
+    # floor(sum(out/size)) by long division in base 1e9: the whole part, three limbs of 9 digits, and one unit of the last limb for
+    # what is left. That unit carries a sum such as 1/3 + 2/3 up to the whole number it is; it cannot carry any other sum there
+    # as long as the least common multiple of the sizes is below 1e27 / (number of sizes), as it is for all lists of up to 60 calls.
+    limbs = per_size.selectExpr(*keys, "tool", "_n", "CAST(_size AS BIGINT) AS _size", "_out div _size AS _w", "_out % _size AS _r")
+    for limb in ("_d1", "_d2", "_d3"):
+        limbs = limbs.selectExpr(*[c for c in limbs.columns if c != "_r"], f"_r * {_LIMB}L div _size AS {limb}", f"_r * {_LIMB}L % _size AS _r")
+    sums = limbs.groupBy(*keys, "tool").agg(
+        F.sum("_n").alias("calls"), F.sum("_w").alias("_w"), F.sum("_d1").alias("_d1"), F.sum("_d2").alias("_d2"), F.expr("sum(_d3 + IF(_r > 0, 1L, 0L)) AS _d3")
     )
+    carried = f"(_d1 + (_d2 + _d3 div {_LIMB}L) div {_LIMB}L) div {_LIMB}L"
+    return sums.selectExpr(*keys, "tool", "calls", f"_w + {carried} AS approx_output_tokens")
 
 
 def by_tool(usage: DataFrame, *, as_of=None, keys=()) -> DataFrame:
-    return tool_sums(usage, keys).orderBy(*keys, F.desc("approx_output_tokens"), "tool")
+    return tool_sums(C.until(usage, as_of), keys).orderBy(*keys, F.desc("approx_output_tokens"), "tool")
 
 
 def tool_labels(usage: DataFrame, *, as_of=None, keys=(), top: int = 8) -> DataFrame:
     """Top tools with short labels, and the share of MCP and browser tools over all tools."""
-    all_tools = tool_sums(usage, keys).where(~F.col("tool").isin("(no tool)", "")).withColumn("is_mcp", S.is_mcp_tool("tool"))
+    all_tools = tool_sums(C.until(usage, as_of), keys).where(~F.col("tool").isin("(no tool)", "")).withColumn("is_mcp", S.is_mcp_tool("tool"))
     w = Window.partitionBy(*keys)
     tokens = F.col("approx_output_tokens")
     mcp = F.sum(F.when(F.col("is_mcp"), tokens).otherwise(0)).over(w)
@@ -244,7 +242,7 @@ def usage_heatmap(usage: DataFrame, *, as_of=None, keys=(), tz: str = "UTC") ->
     """Tokens per weekday (Monday = 0) and hour in `tz`, all 168 cells, with a 0-4 level."""
     local = F.convert_timezone(F.lit("UTC"), F.lit(tz), F.col("timestamp"))
     cells = (
-        enrich(usage)
+        C.until(enrich(usage), as_of)
         .groupBy(*keys, (F.weekday(local) * 24 + F.hour(local)).alias("cell"))
         .agg(F.sum("total_tokens").alias("tokens"))
     )
@@ -267,7 +265,7 @@ def usage_heatmap(usage: DataFrame, *, as_of=None, keys=(), tz: str = "UTC") ->
 def cache_efficiency(usage: DataFrame, *, as_of=None, keys=()) -> DataFrame:
     """What cache reads cost and what they saved against the plain input price."""
     read, fresh = F.col("cache_read_tokens"), F.col("input_tokens")
-    per_family = enrich(usage).groupBy(*keys, "family").agg(F.sum(read).alias("cache_read_tokens"), F.sum(fresh).alias("input_tokens"))
+    per_family = C.until(enrich(usage), as_of).groupBy(*keys, "family").agg(F.sum(read).alias("cache_read_tokens"), F.sum(fresh).alias("input_tokens"))
     rate_in, rate_read = P.price_milli("family", "input"), P.price_milli("family", "cache_read")
     out = per_family.groupBy(*keys).agg(
         F.coalesce(F.sum(read), F.lit(0)).alias("cached_tokens"),
@@ -290,7 +288,7 @@ def cache_efficiency(usage: DataFrame, *, as_of=None, keys=()) -> DataFrame:
 
 def top_models(usage: DataFrame, *, as_of=None, keys=(), top: int = 8) -> DataFrame:
     """Most expensive real models with their share of the cost shown."""
-    real = _by_model_full(usage, keys).where(~F.startswith("model_id", F.lit("<"))).withColumn("cost_e4", X.cost_e4("cost_nano"))
+    real = _by_model_full(C.until(usage, as_of), keys).where(~F.startswith("model_id", F.lit("<"))).withColumn("cost_e4", X.cost_e4("cost_nano"))
     shown = C.top_n(real, keys, [F.desc("cost_e4"), F.asc("model_id")], top)
     total = F.sum("cost_e4").over(Window.partitionBy(*keys))
     return shown.withColumn("_total", total).select(

@@ -126,7 +126,7 @@ def fleet_burn_windows(usage: DataFrame, *, as_of, keys=("source",)) -> DataFram
 
 def fleet_cache(usage: DataFrame, *, as_of=None, keys=("source",)) -> DataFrame:
     """Cache savings summed over devices; the discount is taken from the sums."""
-    per_device = A.cache_efficiency(usage, keys=[*keys, "device"])
+    per_device = A.cache_efficiency(usage, as_of=as_of, keys=[*keys, "device"])
     g = per_device.groupBy(*keys).agg(*[F.sum(_cents(c)).alias("_" + c) for c in ("usd_saved", "usd_on_cache", "full_equiv_usd")])
     return g.select(
         *keys, *[X.scaled("_" + c, 2).alias(c) for c in ("usd_saved", "usd_on_cache", "full_equiv_usd")],
@@ -162,7 +162,7 @@ def fleet_live(usage: DataFrame, *, as_of, keys=("source",), cap: int | None = N
 
 def fleet_projects(usage: DataFrame, *, as_of=None, keys=(), top: int | None = 12) -> DataFrame:
     """Projects by label over devices; the directory shows only when it is unambiguous."""
-    per_device = A.by_project(usage, keys=[*keys, "device"])
+    per_device = A.by_project(usage, as_of=as_of, keys=[*keys, "device"])
     g = per_device.groupBy(*keys, "project_label").agg(
         F.sum(_e4("cost_usd")).alias("_e4"), F.sum("total_tokens").alias("tokens"), F.sum("messages").alias("messages"),
         F.count_distinct("device").alias("devices"), F.min("project_dir").alias("_a"), F.max("project_dir").alias("_z"),

@@ -70,7 +70,7 @@ def daily_anomalies(usage: DataFrame, *, as_of=None, keys=(), daily: DataFrame |
     seven rows before them; at least three are needed."""
     prior = Window.partitionBy(*keys).orderBy("date").rowsBetween(-7, -1)
     x = X.wide("total_tokens")
-    d = _daily(usage, keys, daily).withColumns({
+    d = _daily(C.until(usage, as_of), keys, daily).withColumns({
         "_n": F.count(F.lit(1)).over(prior),
         "_s": F.sum("total_tokens").over(prior),
         "_q": F.sum(x * x).over(prior),
@@ -95,7 +95,7 @@ def daily_anomalies(usage: DataFrame, *, as_of=None, keys=(), daily: DataFrame |
 
 def baseline(usage: DataFrame, *, as_of=None, keys=(), daily: DataFrame | None = None) -> DataFrame:
     """Percentiles over days; the arrays are bounded by the number of days."""
-    g = _daily(usage, keys, daily).groupBy(*keys).agg(
+    g = _daily(C.until(usage, as_of), keys, daily).groupBy(*keys).agg(
         X.sorted_list("cost_e4").alias("_c"), X.sorted_list("total_tokens").alias("_t")
     )
     return g.select(
