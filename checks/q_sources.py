@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from checks import loglines as L, views as V
@@ -9,7 +11,10 @@ from checks.registry import reg
 from checks.sqlkit import NOW, big, cte, q, ts
 from usagelens.functions import text as S
 from usagelens.operators import normalize as N
+from usagelens.plans.ingest import derive_agent_a
+from usagelens.plans.store import IngestStore, Root
 from usagelens.plans.turns import resolve_turns
+from usagelens.session import cut_lineage, shared_dir
 from usagelens.sources import agent_a as SA, agent_b as SB, lines as SL, side_tables as ST
 
 # --- agent A ------------------------------------------------------------------------
@@ -142,6 +147,25 @@ def merged(spark, sf):
 
 reg("merge_increment", merged, "SELECT concat('/logs/u', user_id, '.jsonl') AS source_file, count(*) AS records, sum(event_id)::BIGINT AS ids FROM events GROUP BY user_id")
 
+
+
+def ingested_in_steps(spark, sf):
+    """Logs of the events so far, read into a store; the rest, of which a second run reads only the new files."""
+    at = f"{shared_dir(spark)}/logs-{uuid.uuid4().hex}"
+    store, lines = IngestStore(spark, f"{at}/store"), L.agent_a(spark, sf)
+    for step, part in enumerate(("line_no % 4 <> 3", "line_no % 4 = 3")):
+        lines.where(part).select("value").write.text(f"{at}/logs/step{step}")
+        store.update("agent_a", [Root(f"{at}/logs", "mac", "me", "*.txt")])
+    return derive_agent_a(store.lines("agent_a")).usage.select("account", "device", "message_id", "timestamp", "session_id", "model", "input_tokens", "output_tokens", "tool_names")
+
+
+reg(
+    "incremental_usage",
+    ingested_in_steps,
+    q(f"""SELECT 'me' AS account, 'mac' AS device, CASE WHEN event_id % 7 <> 0 THEN message_id ELSE concat('e', event_id) END AS message_id, {ts('timestamp')} AS timestamp, session_id, model, input_tokens, output_tokens,
+      tools AS tool_names FROM usage_all WHERE {ASSISTANT}"""),
+)
+
 # --- agent B --------------------------------------------------------------------------
 
 for _n, _seq in (
@@ -165,8 +189,8 @@ reg(
 USAGE_B = f"""SELECT {ts('timestamp')} AS timestamp, 's-' || file AS session_id, '/repo/' || file AS project_dir, file AS project_label, 'main' AS git_branch, coalesce(m, 'gpt-5') AS model,
   's-' || file || ':' || idx AS message_id, greatest(0, input_tokens - cached_tokens) AS input_tokens, output_tokens, 0::BIGINT AS cache_creation_tokens, cached_tokens AS cache_read_tokens,
   '' AS tool_names, '/logs/rollout-' || file || '.jsonl' AS source_file, 's-' || file || ':' || idx AS uuid, '' AS parent_uuid, coalesce(t, 's-' || file || ':' || idx) AS turn_id FROM kept_events"""
-reg("usage_from_agent_b", lambda spark, sf: SB.usage_records(parsed_b(spark, sf)).drop("line_no"), q(USAGE_B))
-reg("usage_from_agent_b_small_chunks", lambda spark, sf: SB.usage_records(parsed_b(spark, sf), chunk=16).drop("line_no"), q(USAGE_B))
+reg("usage_from_agent_b", lambda spark, sf: SB.usage_records(cut_lineage(parsed_b(spark, sf))).drop("line_no"), q(USAGE_B))
+reg("usage_from_agent_b_small_chunks", lambda spark, sf: SB.usage_records(cut_lineage(parsed_b(spark, sf)), chunk=16).drop("line_no"), q(USAGE_B))
 reg(
     "drop_consecutive_dup",
     lambda spark, sf: SB.drop_consecutive_dup(V.view(spark, sf, "token_count_events").select("file", "line_no", "input_tokens", "cached_tokens", "output_tokens"), chunk=32),

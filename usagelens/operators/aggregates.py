@@ -118,9 +118,11 @@ def by_session(
         F.col("l_timestamp").alias("last_turn_at"),
     )
     if intents is not None:
-        out = out.join(intents.select("session_id", "intent"), "session_id", "left").fillna("", ["intent"])
+        shared = [k for k in keys if k in intents.columns]
+        out = out.join(intents.select(*shared, "session_id", "intent"), [*shared, "session_id"], "left").fillna("", ["intent"])
     if titles is not None:
-        out = out.join(titles.select("session_id", F.col("title").alias("chat")), "session_id", "left")
+        shared = [k for k in keys if k in titles.columns]
+        out = out.join(titles.select(*shared, "session_id", F.col("title").alias("chat")), [*shared, "session_id"], "left")
     return out
 
 

@@ -78,6 +78,63 @@ def usage_records(parsed: DataFrame) -> DataFrame:
     )
 
 
+_RECORD = (
+    "project_dir", "project_label", "git_branch", "model", "message_id", "input_tokens", "output_tokens", "cache_creation_tokens", "cache_read_tokens", "tool_names",
+)
+
+
+def compact(parsed: DataFrame) -> DataFrame:
+    """What the later steps need of a line, without its text: where it stands, the usage it reports, the intent it may give, the
+    errors it flags; and of a bad line its source (column `raw`, if there)."""
+    cwd = F.coalesce(F.nullif("cwd", F.lit("")), S.decode_project_dir(parent_directory("source_file")))
+    is_record = (F.col("role") == "assistant") & F.col("usage").isNotNull()
+    own = parsed.withColumn("project_dir", cwd).withColumns({
+        "project_label": S.project_label("project_dir"),
+        "message_id": F.coalesce(F.nullif("raw_message_id", F.lit("")), "uuid"),
+        "input_tokens": S.whole_number(F.col("usage.input_tokens")),
+        "output_tokens": S.whole_number(F.col("usage.output_tokens")),
+        "cache_creation_tokens": S.whole_number(F.col("usage.cache_creation_input_tokens")),
+        "cache_read_tokens": S.whole_number(F.col("usage.cache_read_input_tokens")),
+        "tool_names": N.tool_names(F.col("blocks")),
+    })
+    flagged = F.filter("blocks", lambda b: (b["type"] == "tool_result") & N.truthy(b["is_error"]))
+    texts = F.transform(flagged, lambda b: F.coalesce(b["content"], F.lit("")))
+    told = (F.col("role") == "user") & (F.coalesce("session_id", F.lit("")) != "")
+    passed = [c for c in ("device", "root_rank", "account", "source") if c in parsed.columns]
+    return own.select(
+        *passed, "source_file", "line_no", "bad", "session_id", "timestamp", "uuid", "parent_uuid",
+        N.is_human_line("type", "content_text", "blocks").alias("is_human"),
+        F.when(is_record, F.struct(*_RECORD)).alias("record"),
+        F.when(told, S.intent_text("text")).alias("intent"),
+        F.when(F.size(texts) > 0, F.transform(texts, lambda t: F.struct(S.classify_error(t).alias("category"), S.error_snippet(t).alias("snippet")))).alias("errors"),
+        F.when(F.col("bad"), F.col("raw") if "raw" in parsed.columns else F.lit(None).cast("string")).alias("raw"),
+    )
+
+
+def compact_records(lines: DataFrame) -> DataFrame:
+    """Usage rows of compact lines."""
+    passed = [c for c in ("device", "root_rank", "account", "source") if c in lines.columns]
+    return lines.where("record IS NOT NULL").select(*passed, "timestamp", "session_id", *[F.col("record." + c).alias(c) for c in _RECORD], "source_file", "line_no", "uuid", "parent_uuid")
+
+
+def compact_intents(lines: DataFrame, keys=()) -> DataFrame:
+    order = F.struct("timestamp", "source_file", "line_no")
+    return lines.where("intent IS NOT NULL").groupBy(*keys, "session_id").agg(F.min_by("intent", order).alias("intent"), F.min("timestamp").alias("intent_at"))
+
+
+def compact_errors(lines: DataFrame, keys=()) -> DataFrame:
+    return lines.select(*keys, "session_id", "timestamp", F.explode("errors").alias("e")).select(*keys, "session_id", "timestamp", "e.category", "e.snippet")
+
+
+def compact_quality(lines: DataFrame, keys=()) -> DataFrame:
+    """Counts per file: lines, bad lines, usage records, flagged tool errors, lines without a time."""
+    return lines.groupBy(*keys, "source_file").agg(
+        F.count(F.lit(1)).alias("lines"), F.count_if("bad").alias("parse_errors"), F.count_if(F.col("record").isNotNull()).alias("record_count"),
+        F.coalesce(F.sum(F.when(F.col("errors").isNotNull(), F.size("errors"))), F.lit(0)).alias("error_events_count"),
+        F.count_if(~F.col("bad") & (F.col("timestamp") == F.lit(S.EPOCH).cast("timestamp_ntz"))).alias("undated_lines"),
+    )
+
+
 def chain_lines(parsed: DataFrame) -> DataFrame:
     """Input of resolve_turns."""
     return parsed.select(

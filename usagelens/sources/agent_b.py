@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, functions as F
 
 from usagelens.functions import text as S
 from usagelens.plans.carry import carry_forward, running_index
-from usagelens.session import cut_lineage
 
 # Texts of which one must occur in a line worth decoding, and the fallback model.
 INTEREST = ('"token_count"', '"turn_context"', '"session_meta"', '"user_message"')
@@ -23,8 +22,9 @@ EVENT_SCHEMA = (
 )
 
 
-def parse_events(lines: DataFrame) -> DataFrame:
-    """Interesting events, flat. Most bytes are lines without any; they are never decoded."""
+def parse_events(lines: DataFrame, with_bad: bool = False) -> DataFrame:
+    """Interesting events, flat. Most bytes are lines without any; they are never decoded. With `with_bad` also the lines
+    among them that are no JSON: `bad` is set, `raw` is the line and all else is empty."""
     wanted = F.lit(False)
     for token in INTEREST:
         wanted = wanted | F.contains("value", F.lit(token))
@@ -36,8 +36,11 @@ def parse_events(lines: DataFrame) -> DataFrame:
     def when(k, c):
         return F.when(kind == k, F.nullif(c, F.lit("")))
 
-    out = lines.where(wanted).withColumn("e", F.from_json("value", EVENT_SCHEMA)).where(e["type"].isNotNull())
+    out = lines.where(wanted).withColumn("e", F.from_json("value", EVENT_SCHEMA))
+    bad = e["type"].isNull() & F.try_parse_json("value").isNull()
+    out = out.where(e["type"].isNotNull() | bad) if with_bad else out.where(e["type"].isNotNull())
     return out.select(
+        *([bad.alias("bad"), F.when(bad, F.col("value")).alias("raw")] if with_bad else []),
         *[c for c in lines.columns if c not in ("value", "source_file")],
         F.col("source_file").alias("file"),
         S.parse_ts(e["timestamp"]).alias("timestamp"),
@@ -91,8 +94,6 @@ def session_meta(events: DataFrame) -> DataFrame:
 
 def usage_records(events: DataFrame, chunk: int = CHUNK) -> DataFrame:
     """Usage rows: per-response deltas, cached input moved out of the fresh input."""
-    # Decoded once: the steps below read the compact events several times.
-    events = cut_lineage(events)
     kept = _with_state(events, chunk).where(_not_repeated())
     kept = running_index(kept, ["file"], "_chunk", ["line_no"], "idx").join(session_meta(events), "file")
     own_id = F.concat_ws(":", "session_id", F.col("idx").cast("string"))
@@ -114,14 +115,27 @@ def usage_records(events: DataFrame, chunk: int = CHUNK) -> DataFrame:
     )
 
 
-def intents(events: DataFrame) -> DataFrame:
-    """First user message per file, under its session id."""
+def compact(events: DataFrame) -> DataFrame:
+    """Events with what an intent needs of a user's text (`said`) instead of all of it."""
     t = F.regexp_replace("user_text", r"^\s+|\s+$", "")
-    said = events.where((F.col("kind") == "user_message") & (t != "")).withColumn("_t", F.substring(t, 1, 240))
-    first = said.groupBy("file").agg(F.min_by(F.struct("_t", "timestamp"), "line_no").alias("f"))
+    return events.withColumn("said", F.when((F.col("kind") == "user_message") & (t != ""), F.substring(t, 1, 240))).drop("user_text")
+
+
+def quality(events: DataFrame, keys=()) -> DataFrame:
+    """Counts per file of compact events with bad lines: lines worth decoding, those that are no JSON, token events, events without a time."""
+    return events.groupBy(*keys, F.col("file").alias("source_file")).agg(
+        F.count(F.lit(1)).alias("lines"), F.count_if("bad").alias("parse_errors"), F.count_if(F.col("input_tokens").isNotNull()).alias("record_count"),
+        F.lit(0).cast("bigint").alias("error_events_count"), F.count_if(~F.col("bad") & (F.col("timestamp") == F.lit(S.EPOCH).cast("timestamp_ntz"))).alias("undated_lines"),
+    )
+
+
+def intents(events: DataFrame, keys=()) -> DataFrame:
+    """First user message per file, under its session id (and `keys`, which a file has only one of)."""
+    said = (events if "said" in events.columns else compact(events)).where("said IS NOT NULL").withColumnRenamed("said", "_t")
+    first = said.groupBy("file", *keys).agg(F.min_by(F.struct("_t", "timestamp"), "line_no").alias("f"))
     by_file = first.join(session_meta(events), "file")
     order = F.struct("file")
-    return by_file.groupBy("session_id").agg(F.min_by("f._t", order).alias("intent"), F.min_by("f.timestamp", order).alias("intent_at"))
+    return by_file.groupBy(*keys, "session_id").agg(F.min_by("f._t", order).alias("intent"), F.min_by("f.timestamp", order).alias("intent_at"))
 
 
 def rate_limits(events: DataFrame) -> DataFrame:
