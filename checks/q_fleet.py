@@ -16,8 +16,8 @@ from checks.sqlkit import NOW, TODAY, big, cte, hit, pct, q, ratio, rd, sc, sort
 from usagelens.operators import aggregates as A, billing as B, common as C, fleet as M
 from usagelens.plans.report import build_report
 from usagelens.session import shared_dir
-from usagelens.sources import sinks as SK
-from usagelens.streaming import alert_stream as RA, burn_stream as RB, usage_stream as RU
+from usagelens.sources import agent_b as SB, sinks as SK
+from usagelens.streaming import alert_stream as RA, burn_stream as RB, pane_stream as RP, usage_stream as RU
 
 DS = "device, source"
 cte("daily_ds", f"SELECT *, (cost_nano+50000)//100000 AS cost_e4 FROM (SELECT {DS}, date, {tsums()} FROM u GROUP BY {DS}, date)")
@@ -243,6 +243,61 @@ reg(
 )
 
 
+
+def paned(spark, sf):
+    """The events in two steps: every third one comes after the others, most of them late."""
+    path = fresh(spark, "panes")
+    events, schema = V.raw(spark, sf, "events"), V.raw(spark, sf, "events").schema
+    for part in ("event_id % 3 <> 0", "event_id % 3 = 0"):
+        events.where(part).write.mode("append").parquet(f"{path}/events")
+        stream = spark.readStream.schema(schema).parquet(f"{path}/events")
+        RP.run_panes(spark.sql(V.VIEWS["usage_all"].replace("{K}", V.K_SPARK), events=stream), path, f"{path}/check")
+    return path
+
+
+reg(
+    "pane_minutes",
+    lambda s, d: RP.minute_costs(s, paned(s, d)),
+    q(f"""SELECT {ts('minute')} AS minute, source, device, model, {usd4('sum(cost_nano)')} AS cost, sum(total_tokens)::BIGINT AS tokens, count(*) AS records
+      FROM (SELECT *, date_trunc('minute', timestamp) AS minute FROM u_all) WHERE minute + INTERVAL 1 MINUTE <= {CLOSED} GROUP BY minute, source, device, model"""),
+)
+reg(
+    "pane_burn",
+    lambda s, d: RP.burn_rates(s, paned(s, d)),
+    q(f"""SELECT {ts('ws')} AS window_start, {ts('ws + INTERVAL 2 HOUR')} AS window_end, source, device, {rate('sum(cost_nano)', '20000')} AS cost_per_hour
+      FROM (SELECT u.*, time_bucket(INTERVAL 5 MINUTE, timestamp) - k * INTERVAL 5 MINUTE AS ws FROM u_all AS u CROSS JOIN (SELECT unnest(range(24)) AS k)) WHERE ws + INTERVAL 2 HOUR <= {CLOSED} GROUP BY ws, source, device"""),
+)
+reg(
+    "late_rows",
+    lambda s, d: RP.late_rows(s, paned(s, d)),
+    q(f"""SELECT {ts('minute')} AS minute, source, device, model, count(*) AS records, sum(total_tokens)::BIGINT AS tokens, {usd4('sum(cost_nano)')} AS cost FROM (
+      SELECT *, date_trunc('minute', timestamp) AS minute FROM u_all WHERE event_id % 3 = 0 AND timestamp < (SELECT max(timestamp) - INTERVAL 10 MINUTE FROM u_all WHERE event_id % 3 <> 0)) GROUP BY minute, source, device, model"""),
+)
+
+
+def tailed(spark, sf):
+    """Agent-B logs read as a stream in two steps, the second of which brings the later files."""
+    path = fresh(spark, "tail")
+    lines = L.agent_b(spark, sf)
+    for part in ("crc32(source_file) % 2 = 0", "crc32(source_file) % 2 = 1"):
+        # One written file per log file, its lines in order.
+        ordered = lines.where(part).repartition("source_file").sortWithinPartitions("source_file", "line_no")
+        ordered.selectExpr("substring_index(substring_index(source_file, '/', -1), '.', 1) AS log", "value").write.mode("append").partitionBy("log").text(f"{path}/logs")
+        RU.run_usage_stream(RU.tail_lines(spark, f"{path}/logs", pattern="*.txt", wanted=SB.INTEREST), f"{path}/out", f"{path}/check", source="agent_b", device="pc", account="me")
+    out = RU.read_usage_stream(spark, f"{path}/out", "agent_b")
+    return out.select("account", "device", "session_id", "project_dir", "message_id", "turn_id", "model", "timestamp", "input_tokens", "output_tokens", "cache_read_tokens")
+
+
+reg(
+    "stream_usage_agent_b",
+    tailed,
+    q(f"""SELECT 'me' AS account, 'pc' AS device, session_id, project_dir, message_id, turn_id, model, {ts('timestamp')} AS timestamp, input_tokens, output_tokens, cache_read_tokens FROM (
+      SELECT concat('s-', file) AS session_id, concat('/repo/', file) AS project_dir, concat('s-', file, ':', idx) AS message_id, coalesce(t, concat('s-', file, ':', idx)) AS turn_id, coalesce(m, 'gpt-5') AS model,
+        timestamp, greatest(input_tokens - cached_tokens, 0) AS input_tokens, output_tokens, cached_tokens AS cache_read_tokens, file, line_no FROM kept_events)
+      QUALIFY row_number() OVER (PARTITION BY turn_id, input_tokens, output_tokens, cache_read_tokens ORDER BY timestamp, file, line_no) = 1"""),
+)
+
+
 def alert_stream(spark, sf):
     path = fresh(spark, "alerts")
     # Four scheduled runs over the weeks: the state passes from run to run.

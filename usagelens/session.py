@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import functools
+import os
+import shutil
 import tempfile
 import uuid
 
@@ -36,6 +39,22 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
+@functools.lru_cache(maxsize=8)
+def _ship(app: str) -> None:
+    from pyspark import SparkContext
+
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    made = shutil.make_archive(os.path.join(tempfile.mkdtemp(prefix="package-"), "usagelens"), "zip", root, "usagelens")
+    SparkContext._active_spark_context.addPyFile(made)
+
+
+def importable(spark: SparkSession) -> None:
+    """Sends this package to the executors unless their PYTHONPATH has it already; Python tasks import from it."""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    if root not in os.environ.get("PYTHONPATH", "").split(os.pathsep):
+        _ship(spark.sparkContext.applicationId)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write `df` to the shared folder and read it back: survives lost executors, and
     later steps read only the columns they use."""

@@ -92,10 +92,43 @@ def session_meta(events: DataFrame) -> DataFrame:
     )
 
 
-def usage_records(events: DataFrame, chunk: int = CHUNK) -> DataFrame:
-    """Usage rows: per-response deltas, cached input moved out of the fresh input."""
+_STATE = ("meta_id", "meta_cwd", "meta_branch", "ctx_model", "ctx_turn_id", "input_tokens", "cached_tokens", "output_tokens")
+
+
+def _after(events: DataFrame, before: DataFrame | None) -> DataFrame:
+    """Events behind a line -1 per file that says what earlier events left."""
+    if before is None:
+        return events
+    last = before.select("file", F.lit(-1).cast("bigint").alias("line_no"), F.when(F.col("has_meta"), "session_meta").alias("kind"), *_STATE)
+    return events.unionByName(last, allowMissingColumns=True)
+
+
+def file_state(events: DataFrame, records: DataFrame, before: DataFrame | None = None) -> DataFrame:
+    """A row per file: what later events of it need to know of these, and how many records (`records` of these events) it gave."""
+    def last(c, where):
+        return F.max_by(c, F.when(where, F.col("line_no")))
+
+    spent, meta = F.col("input_tokens").isNotNull(), F.col("kind") == "session_meta"
+    g = _after(events, before).groupBy("file").agg(
+        F.coalesce(F.max(meta), F.lit(False)).alias("has_meta"),
+        *[last(c, meta).alias(c) for c in ("meta_id", "meta_cwd", "meta_branch")], *[last(c, F.col(c).isNotNull()).alias(c) for c in ("ctx_model", "ctx_turn_id")],
+        *[last(c, spent).alias(c) for c in ("input_tokens", "cached_tokens", "output_tokens")],
+    )
+    counts = records.groupBy(F.col("source_file").alias("file")).agg(F.count(F.lit(1)).alias("_n"))
+    g = g.join(counts, "file", "left").withColumn("_n", F.coalesce("_n", F.lit(0)))
+    if before is None:
+        return g.withColumnRenamed("_n", "n")
+    return g.join(before.select("file", "n"), "file", "left").withColumn("n", F.coalesce("n", F.lit(0)) + F.col("_n")).drop("_n")
+
+
+def usage_records(events: DataFrame, chunk: int = CHUNK, before: DataFrame | None = None) -> DataFrame:
+    """Usage rows: per-response deltas, cached input moved out of the fresh input. `before` is the state of files whose
+    earlier events were taken before (`file_state`)."""
+    events = _after(events, before)
     kept = _with_state(events, chunk).where(_not_repeated())
-    kept = running_index(kept, ["file"], "_chunk", ["line_no"], "idx").join(session_meta(events), "file")
+    kept = running_index(kept.where("line_no >= 0"), ["file"], "_chunk", ["line_no"], "idx").join(session_meta(events), "file")
+    if before is not None:
+        kept = kept.join(before.select("file", "n"), "file", "left").withColumn("idx", F.col("idx") + F.coalesce("n", F.lit(0))).drop("n")
     own_id = F.concat_ws(":", "session_id", F.col("idx").cast("string"))
     zero = F.lit(0).cast("bigint")
     passed = [c for c in ("device", "root_rank", "account", "source") if c in events.columns]

@@ -14,6 +14,8 @@ from urllib.parse import unquote, urlparse
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from usagelens.session import importable
+
 #: Bytes of a range.
 RANGE = 64 << 20
 #: Bytes read at once.
@@ -58,9 +60,16 @@ def _complete(file, start: int, size: int) -> int:
     return start
 
 
+def whole_lines(path: str, size: int) -> int:
+    """Where the last whole line of the first `size` bytes ends."""
+    with _open(path) as file:
+        return _complete(file, 0, size)
+
+
 def settle(plan: DataFrame) -> DataFrame:
     """The plan (path, size, action, from_offset, mark; other columns stay) with `offset`, the end of the last whole line, and its
     `mark`. A file that grew but is not the old one in front is to be loaded whole."""
+    importable(plan.sparkSession)
     schema = plan.withColumn("offset", F.lit(0).cast("long")).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -77,41 +86,44 @@ def settle(plan: DataFrame) -> DataFrame:
     return plan.repartition(max(1, plan.sparkSession.sparkContext.defaultParallelism)).mapInArrow(run, schema)
 
 
-def read_ranges(files: DataFrame, wanted: tuple[str, ...] = (), size: int = RANGE) -> DataFrame:
-    """value, source_file, line_no of the non-blank lines of `files` (path, from_offset, size), from from_offset on. With
-    `wanted` only lines that hold one of these texts, which are looked for before anything is decoded."""
-    texts = [w.encode() for w in wanted]
-
-    def lines(path: str, first: int, start: int, end: int, stop: int) -> Iterator[tuple[int, bytes]]:
-        with _open(path) as file:
-            # A range that does not begin where reading begins may be inside a line, which is another range's.
-            at, rest = (start, b"") if start == first else (start - 1, None)
-            line_at = at
-            while at < stop:
-                block = _bytes(file, at, min(stop, at + _BLOCK))
-                if not block:
-                    break
-                at += len(block)
-                parts = block.split(b"\n")
-                if rest is None:
-                    if len(parts) == 1:
-                        line_at += len(block)
-                        if line_at >= end:
-                            return
-                        continue
-                    line_at += len(parts[0]) + 1
-                    parts, rest = parts[1:], b""
-                parts[0] = rest + parts[0]
-                for line in parts[:-1]:
+def range_lines(path: str, first: int, start: int, end: int, stop: int) -> Iterator[tuple[int, bytes]]:
+    """(byte, line) of the lines that begin in start..end. Reading began at `first`, where a line begins, and may go on to `stop`."""
+    with _open(path) as file:
+        # A range that does not begin where reading begins may be inside a line, which is another range's.
+        at, rest = (start, b"") if start == first else (start - 1, None)
+        line_at = at
+        while at < stop:
+            block = _bytes(file, at, min(stop, at + _BLOCK))
+            if not block:
+                break
+            at += len(block)
+            parts = block.split(b"\n")
+            if rest is None:
+                if len(parts) == 1:
+                    line_at += len(block)
                     if line_at >= end:
                         return
-                    yield line_at, line
-                    line_at += len(line) + 1
-                rest = parts[-1]
+                    continue
+                line_at += len(parts[0]) + 1
+                parts, rest = parts[1:], b""
+            parts[0] = rest + parts[0]
+            for line in parts[:-1]:
                 if line_at >= end:
                     return
-            if rest and line_at < end:
-                yield line_at, rest
+                yield line_at, line
+                line_at += len(line) + 1
+            rest = parts[-1]
+            if line_at >= end:
+                return
+        if rest and line_at < end:
+            yield line_at, rest
+
+
+def read_ranges(files: DataFrame, wanted: tuple[str, ...] = (), size: int = RANGE) -> DataFrame:
+    """value, source_file, line_no of the non-blank lines of `files` (path, from_offset, size), from from_offset on. With
+    `wanted` only lines that hold one of these texts, which are looked for before anything is decoded."""
+    importable(files.sparkSession)
+    texts = [w.encode() for w in wanted]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def made():
@@ -120,7 +132,7 @@ def read_ranges(files: DataFrame, wanted: tuple[str, ...] = (), size: int = RANG
         for batch in batches:
             for r in batch.to_pylist():
                 values, numbers, held = [], [], 0
-                for number, line in lines(r["path"], r["from_offset"], r["start"], r["end"], r["size"]):
+                for number, line in range_lines(r["path"], r["from_offset"], r["start"], r["end"], r["size"]):
                     if line.strip() and (not texts or any(t in line for t in texts)):
                         values.append(line.rstrip(b"\r").decode("utf-8", "replace"))
                         numbers.append(number)
