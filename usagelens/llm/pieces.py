@@ -71,6 +71,10 @@ class Pieces:
         alone = "".join(c for c in "\n\t\r" if not any(c in name for name in self.ids if len(name) > 1))
         self.split = re.compile((f"[{alone}]|" if alone else "") + f"{BLANK}*[^{BLANK}{alone}]+|{BLANK}+").findall
         self.words: dict[str, tuple[int, ...]] = {}
+        self.is_byte = np.zeros(size, bool)
+        self.is_byte[list(self.from_byte)] = True
+        #: How ids are kept between steps.
+        self.kind = "<u2" if size <= 1 << 16 else "<u4"
 
     def steps(self, text: str, at: int) -> list[tuple[int, float]]:
         """Pieces that begin at a place: (length, score), shortest first."""
@@ -125,7 +129,9 @@ class Pieces:
 
     def decode(self, ids) -> str:
         """The normalised text of some ids."""
-        out, raw = [], bytearray()
+        if not self.is_byte[ids].any():
+            return "".join(map(self.names.__getitem__, ids.tolist()))
+        ids, out, raw = ids.tolist(), [], bytearray()
         for i in ids:
             if i in self.from_byte:
                 raw.append(self.from_byte[i])
@@ -278,18 +284,51 @@ def _hand_down(parents: DataFrame, children: DataFrame, width: int) -> DataFrame
 def encode(docs: DataFrame, path: str, chunk: int = CHUNK) -> DataFrame:
     """Pieces of every document in order: doc_id, row, number, ids (little-endian unsigned 32-bit); a text
     of one chunk is one piece with number 0, a giant one has a piece per chunk."""
-    short, giant = _encoded(docs, path, chunk)
-    return short.unionByName(giant)
+    importable(docs.sparkSession)
 
+    def short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, ids, rows in _short(batches, path):
+            yield pa.RecordBatch.from_arrays(
+                [part.column("doc_id"), pa.array(rows, pa.int64()), pa.array([0] * len(rows), pa.int64()), pa.array([x.astype("<u4").tobytes() for x in ids], pa.binary())], ["doc_id", "row", "number", "ids"]
+            )
+
+    kind = "doc_id long, row long, number long, ids binary"
+    rest = _giant(docs, path, chunk).mapInArrow(lambda batches: _widened(batches, path), kind)
+    return _texts(docs, chunk, False).mapInArrow(short, kind).unionByName(rest)
+
+
+def _texts(docs: DataFrame, chunk: int, giant: bool) -> DataFrame:
+    """Documents whose normalised text (with the blank before it) is longer than a chunk, or the others."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return rows.where(f"{'' if giant else 'NOT '}(text IS NOT NULL AND char_length(text) >= {chunk})")
+
+
+def _short(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray], list[int]]]:
+    """Texts of one chunk with their ids, and row numbers apart from those of giant texts."""
+    from pyspark import TaskContext
 
-def _encoded(docs: DataFrame, path: str, chunk: int) -> tuple[DataFrame, DataFrame]:
-    """The pieces of the texts of one chunk, and those of giant texts."""
-    spark = docs.sparkSession
-    importable(spark)
+    p, row = pieces(path), -1 - (TaskContext.get().partitionId() << 40)
+    for batch in batches:
+        for some in slices(batch, "text", 2 << 20):
+            ids = [p.encode(normalise(raw or "")) for raw in some.column("text").to_pylist()]
+            yield some, ids, [row - i for i in range(len(ids))]
+            row -= len(ids)
+
+
+def _widened(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
+    kind = pieces(path).kind
+    for batch in batches:
+        ids = [np.frombuffer(x, kind).astype("<u4").tobytes() for x in batch.column("ids").to_pylist()]
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "row", "number")), pa.array(ids, pa.binary())], ["doc_id", "row", "number", "ids"])
+
+
+def _giant(docs: DataFrame, path: str, chunk: int) -> DataFrame:
+    """The pieces of the texts of several chunks; ids in the vocabulary's own width."""
+    importable(docs.sparkSession)
     width = pieces(path).longest
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Short texts encoded; giant ones cut (compressed, as they are shuffled), with the characters that a piece may reach."""
+        """Chunks (compressed, as they are shuffled) with the characters that a piece may reach, and their matrices."""
         from pyspark import TaskContext
 
         p, row = pieces(path), TaskContext.get().partitionId() << 40
@@ -297,22 +336,16 @@ def _encoded(docs: DataFrame, path: str, chunk: int) -> tuple[DataFrame, DataFra
             for some in slices(batch, "text", 2 << 20):
                 out = []
                 for doc, raw in zip(some.column("doc_id").to_pylist(), some.column("text").to_pylist(), strict=True):
-                    text = normalise(raw or "")
-                    if len(text) <= chunk:
-                        out.append((doc, row, 0, p.encode(text).tobytes(), None, 0, None))
-                    else:
-                        for number, lo in enumerate(range(0, len(text), chunk)):
-                            part, size = text[lo : lo + chunk + width - 1], min(chunk, len(text) - lo)
-                            out.append((doc, row, number, None, zstandard.compress(part.encode("utf-8", "surrogatepass")), size, matrix(p, part, size).tobytes()))
+                    text = normalise(raw)
+                    for number, lo in enumerate(range(0, len(text), chunk)):
+                        part, size = text[lo : lo + chunk + width - 1], min(chunk, len(text) - lo)
+                        out.append((doc, row, number, zstandard.compress(part.encode("utf-8", "surrogatepass")), size, matrix(p, part, size).tobytes()))
                     row += 1
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names)
 
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.binary()]
-    names = ["doc_id", "row", "number", "ids", "part", "size", "scores"]
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    cut = cut_lineage(rows.mapInArrow(first, "doc_id long, row long, number long, ids binary, part binary, size long, scores binary"))
-
-    chunks = cut.filter("ids IS NULL")
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.binary()]
+    names = ["doc_id", "row", "number", "part", "size", "scores"]
+    chunks = cut_lineage(_texts(docs, chunk, True).mapInArrow(first, "doc_id long, row long, number long, part binary, size long, scores binary"))
     levels = [chunks.select("row", F.lit(0).alias("level"), "number", "scores")]
     while (levels[-1].agg(F.max("number")).first()[0] or 0) > 0:
         levels.append(cut_lineage(_combine(levels[-1], width, len(levels))))
@@ -323,12 +356,12 @@ def _encoded(docs: DataFrame, path: str, chunk: int) -> tuple[DataFrame, DataFra
     def trace(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = pieces(path)
         for batch in batches:
-            found = [chunk_ids(p, zstandard.decompress(r["part"]).decode("utf-8", "surrogatepass"), r["entry"], r["leave"], r["size"]).tobytes() for r in batch.to_pylist()]
+            found = [chunk_ids(p, zstandard.decompress(r["part"]).decode("utf-8", "surrogatepass"), r["entry"], r["leave"], r["size"]).astype(p.kind).tobytes() for r in batch.to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("row"), batch.column("number"), pa.array(found, pa.binary())], ["doc_id", "row", "number", "ids"])
 
     kind = "doc_id long, row long, number long, ids binary"
     giant = chunks.select("doc_id", "row", "number", "part", "size").join(states, ["row", "number"]).select("doc_id", "row", "number", "part", "size", "entry", "leave")
-    return cut.filter("ids IS NOT NULL").select("doc_id", "row", "number", "ids"), giant.mapInArrow(trace, kind)
+    return giant.mapInArrow(trace, kind)
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
@@ -339,7 +372,7 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
         p = pieces(path)
         for batch in batches:
             # Byte pieces of one character never lie in two chunks: a chunk ends between pieces.
-            text = [p.decode(np.frombuffer(x, np.uint32).tolist()) for x in batch.column("ids").to_pylist()]
+            text = [p.decode(np.frombuffer(x, "<u4")) for x in batch.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "row", "number")), pa.array(text, pa.string())], ["doc_id", "row", "number", "part"])
 
     parts = encoded.mapInArrow(run, "doc_id long, row long, number long, part string")
@@ -349,21 +382,30 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
 
 def encode_and_decode(docs: DataFrame, path: str, chunk: int = CHUNK) -> DataFrame:
     """Per document: doc_id, n_pieces, n_chunks, ids_crc32 of all its ids, and decoded_sha256 of the decoded text."""
-    short, giant = _encoded(docs, path, chunk)
+    importable(docs.sparkSession)
+    kind = "doc_id long, n_pieces long, n_chunks long, ids_crc32 long, decoded_sha256 string"
 
-    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def digests(doc_ids: pa.Array, ids: list[np.ndarray], n_chunks: list[int]) -> pa.RecordBatch:
         import hashlib
 
         p = pieces(path)
+        text = [p.decode(x)[1:].replace(BLANK, " ") for x in ids]
+        columns = {
+            "doc_id": doc_ids, "n_pieces": pa.array(map(len, ids), pa.int64()), "n_chunks": pa.array(n_chunks, pa.int64()), "ids_crc32": pa.array([zlib.crc32(x.astype("<u4").tobytes()) for x in ids], pa.int64()),
+            "decoded_sha256": pa.array([hashlib.sha256(x.encode("utf-8", "surrogatepass")).hexdigest() for x in text], pa.string()),
+        }
+        return pa.RecordBatch.from_pydict(columns)
+
+    def of_short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, ids, _ in _short(batches, path):
+            yield digests(part.column("doc_id"), ids, [1] * len(ids))
+
+    def of_giant(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = pieces(path).kind
         for batch in batches:
-            ids = [b"".join(x) for x in batch.column("parts").to_pylist()]
-            text = [p.decode(np.frombuffer(x, np.uint32).tolist())[1:].replace(BLANK, " ") for x in ids]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(map(len, batch.column("parts").to_pylist()), pa.int64()), pa.array([zlib.crc32(x) for x in ids], pa.int64()), pa.array([hashlib.sha256(x.encode("utf-8", "surrogatepass")).hexdigest() for x in text], pa.string())],
-                ["doc_id", "n_pieces", "n_chunks", "ids_crc32", "decoded_sha256"],
-            )
+            parts = batch.column("parts").to_pylist()
+            yield digests(batch.column("doc_id"), [np.frombuffer(b"".join(x), own) for x in parts], [len(x) for x in parts])
 
-    # Only giant documents have pieces to bring together; the others are never shuffled.
-    whole = giant.groupBy("doc_id", "row").agg(F.expr("transform(array_sort(collect_list(struct(number, ids))), x -> x.ids)").alias("parts"))
-    rows = short.select("doc_id", F.array("ids").alias("parts")).unionByName(whole.select("doc_id", "parts"))
-    return rows.mapInArrow(digest, "doc_id long, n_pieces long, n_chunks long, ids_crc32 long, decoded_sha256 string")
+    # Only giant documents have pieces to bring together; the others are digested where they are encoded.
+    whole = _giant(docs, path, chunk).groupBy("doc_id", "row").agg(F.expr("transform(array_sort(collect_list(struct(number, ids))), x -> x.ids)").alias("parts"))
+    return _texts(docs, chunk, False).mapInArrow(of_short, kind).unionByName(whole.select("doc_id", "parts").mapInArrow(of_giant, kind))
