@@ -12,7 +12,7 @@ SF = "/root/testdata/sf0.001"
 FILES = ["word_bpe_49k.json", "byte_bpe_50k.json"]
 #: Signs at which a cut can go wrong.
 SIGNS = ["'", "s", "t", "re", "ve", "LL", "d", " ", "  ", "\n", "\t", "a", "B", "é", "é", "Σ", "ς", "İ", "1", "23", "²", "!", "?!", "-", "<|endoftext|>",
-         "<|startoftext|>", "<|", "|>", "\0", "　", "\xa0", "\x1c", "漢字", "🎉", "​", "aaaa", "zzzzzz", "՘", "Ᲊ", "Ꟛ"]
+         "<|startoftext|>", "<|", "|>", "\0", "　", "\xa0", "\x1c", "漢字", "🎉", "​", "aaaa", "zzzzzz", "J̌", "e\u07fd\u0301", "\u0899", "՘", "Ᲊ", "Ꟛ"]
 
 
 def odd_texts():

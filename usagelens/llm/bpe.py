@@ -67,6 +67,12 @@ def _classes() -> np.ndarray:
     return table
 
 
+def _nfc():
+    from tokenizers.normalizers import NFC
+
+    return NFC().normalize_str
+
+
 def _lower_apart() -> dict[int, str]:
     """Characters that the library lower-cases otherwise than Python: those of a newer version of Unicode."""
     from tokenizers.normalizers import Lowercase
@@ -88,40 +94,20 @@ def _gather(values: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.nda
     return values[np.repeat(starts - at, sizes) + np.arange(int(sizes.sum()))]
 
 
-class Bpe:
-    """The merges, words and names of a tokenizer file."""
+class Words:
+    """How a tokenizer file cuts texts into words."""
 
-    def __init__(self, path: str):
-        with open(path, encoding="utf-8") as f:
-            file = json.load(f)
-        model, names = file["model"], _alphabet()
-        vocab, suffix = model["vocab"], model["end_of_word_suffix"] or ""
+    def __init__(self, file: dict, path: str):
         self._read_steps(file, path)
-        self.size = max([*vocab.values(), *(x["id"] for x in file["added_tokens"])]) + 1
-        self.inner = np.array([vocab[x] for x in names], np.int32)
-        self.last = np.array([vocab[x + suffix] for x in names], np.int32)
-        pairs = [p if isinstance(p, list) else p.split(" ") for p in model["merges"]]
-        left, right, made = (np.array([vocab[x] for x in xs], np.int64) for xs in (*zip(*pairs, strict=True), [a + b for a, b in pairs]))
-        keys = left * self.size + right
-        order = np.argsort(keys, kind="stable")
-        self.keys, self.ranks, self.made = keys[order], order.astype(np.int32), made.astype(np.int32)
-        born = np.full(self.size, -1, np.int64)
-        born[made[::-1]] = np.arange(len(made))[::-1]
-        self.ordered = bool((np.maximum(born[left], born[right]) < np.arange(len(made))).all())
         self.classes = _classes()
+        self.nfc = _nfc()
         self.lower_apart = _lower_apart() if self.alone else {}
-        self.has_apart = re.compile(f"[{''.join(map(chr, self.lower_apart))}]").search if self.lower_apart else None
-        added = {x["content"]: x["id"] for x in file["added_tokens"]}
-        self.added = added
+        self.apart = np.array(sorted(self.lower_apart), np.uint32)
+        self.added = {x["content"]: x["id"] for x in file["added_tokens"]}
+        #: Ids of added tokens, in the order of their entries in a split.
+        self.extra = sorted(set(self.added.values()))
         # The longest of those that begin at a place counts.
-        self.cut = re.compile("(" + "|".join(map(re.escape, sorted(added, key=len, reverse=True))) + ")").split if added else None
-        self.names: list[bytes] = [b""] * self.size
-        self.is_name = np.zeros(self.size, bool)
-        byte = {c: b for b, c in enumerate(names)}
-        for x, i in [*vocab.items(), *added.items()]:
-            self.names[i] = bytes(map(byte.__getitem__, x)) if self.bytes_out and all(c in byte for c in x) else x.encode()
-            self.is_name[i] = True
-        self.decimal = [str(i).encode() for i in range(self.size)]
+        self.cut = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")").split if self.added else None
         self.base = np.random.default_rng(20240807).integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
 
     def _read_steps(self, file: dict, path: str) -> None:
@@ -148,9 +134,8 @@ class Bpe:
         if not self.alone:
             return text
         if not text.isascii():
-            text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
-            if self.has_apart and self.has_apart(text):
-                text = text.translate(self.lower_apart)
+            # What is to be composed the library composes: its tables know fewer marks than Python's.
+            text = (text if unicodedata.is_normalized("NFC", text) else self.nfc(text)).replace("Σ", "σ")
         return text.lower()
 
     def _starts(self, points: np.ndarray, kind: np.ndarray) -> np.ndarray:
@@ -180,6 +165,101 @@ class Bpe:
             start[last[points[last] == ord(" ")] + 1] = False
         return start
 
+    def _different(self, raw: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The first place of every different word, and for each word which of those it is."""
+        at = np.cumsum(sizes) - sizes
+        inner = np.arange(int(sizes.sum())) - np.repeat(at, sizes)
+        power = np.cumprod(np.full(int(sizes.max()) + 1, 0x9E3779B97F4A7C15, np.uint64))
+        flat = _gather(raw, starts, sizes)
+        hashes = mix(np.add.reduceat(self.base[flat] * power[inner], at) + sizes.astype(np.uint64))
+        _, first, which = np.unique(hashes, return_index=True, return_inverse=True)
+        twin = first[which]
+        if (sizes == sizes[twin]).all() and (flat == _gather(raw, starts[twin], sizes)).all():
+            return first, which
+        return np.arange(len(starts)), np.arange(len(starts))  # two words share a hash: all are merged by themselves
+
+    @staticmethod
+    def _points(joined: str) -> np.ndarray:
+        try:
+            return np.frombuffer(joined.encode("latin-1"), np.uint8)
+        except UnicodeEncodeError:
+            return np.frombuffer(joined.encode("utf-32-le"), np.uint32)
+
+    def split(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """UTF-8 bytes, place and size of every different word in them; of each word in turn which of those it is; where
+        each text ends in that turn. Behind the words, the numbers of `which` stand for the ids of `extra`, then for none."""
+        parts, follows, counts = [], [], []
+        for text in texts:
+            found = self.cut(text) if self.cut and any(x in text for x in self.added) else [text]
+            parts += map(self._normal, found[::2])
+            follows += [self.added[x] for x in found[1::2]] + [-1]
+            counts.append(len(follows))
+        joined = "\0".join([*parts, ""])
+        points = self._points(joined)
+        if len(self.apart) and points.dtype == np.uint32 and int(points.max()) >= self.apart[0] and np.isin(points, self.apart).any():
+            parts = [x.translate(self.lower_apart) for x in parts]
+            joined = "\0".join([*parts, ""])
+            points = self._points(joined)
+        raw = np.frombuffer(joined.encode(), np.uint8)
+        kind = self.classes[points]
+        breaks = np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)) + 1) - 1
+        kind[breaks] = _BREAK
+        start = np.flatnonzero(self._starts(points, kind))
+        end = np.append(start[1:], len(points))
+        a_word = kind[start] != _BREAK
+        if self.alone:
+            entry = a_word & (kind[start] != _SPACE) | ~a_word
+            start, end, a_word = start[entry], end[entry], a_word[entry]
+        lo, to = start[a_word], end[a_word]
+        if len(raw) != len(points):
+            place = np.concatenate([[0], np.cumsum(1 + (points >= 0x80).astype(np.int8) + (points >= 0x800) + (points >= 0x10000), dtype=np.int64)])
+            lo, to = place[lo], place[to]
+        size = to - lo
+        which = np.empty(len(start), np.int64)
+        if len(lo):
+            first, which[a_word] = self._different(raw, lo, size)
+            lo, size = lo[first], size[first]
+        slot = {-1: len(lo) + len(self.extra)} | {x: len(lo) + i for i, x in enumerate(self.extra)}
+        which[~a_word] = [slot[x] for x in follows]
+        return raw, lo, size, which, np.flatnonzero(~a_word)[np.array(counts) - 1]
+
+    def join(self, ids: np.ndarray, starts: np.ndarray, sizes: np.ndarray, which: np.ndarray, texts_end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts one after the other, and each text's bounds in them, from the stretches of `ids` that the different words have."""
+        starts = np.concatenate([starts, len(ids) + np.arange(len(self.extra)), [0]])
+        sizes = np.concatenate([sizes, np.ones(len(self.extra), np.int64), [0]])
+        ids = np.concatenate([ids, np.array(self.extra, ids.dtype)]).astype(np.uint32)
+        size = sizes[which]
+        return _gather(ids, starts[which], size), np.concatenate([[0], np.cumsum(size)[texts_end]])
+
+
+class Bpe(Words):
+    """The merges, words and names of a tokenizer file."""
+
+    def __init__(self, path: str):
+        with open(path, encoding="utf-8") as f:
+            file = json.load(f)
+        model, names = file["model"], _alphabet()
+        vocab, suffix = model["vocab"], model["end_of_word_suffix"] or ""
+        super().__init__(file, path)
+        self.size = max([*vocab.values(), *(x["id"] for x in file["added_tokens"])]) + 1
+        self.inner = np.array([vocab[x] for x in names], np.int32)
+        self.last = np.array([vocab[x + suffix] for x in names], np.int32)
+        pairs = [p if isinstance(p, list) else p.split(" ") for p in model["merges"]]
+        left, right, made = (np.array([vocab[x] for x in xs], np.int64) for xs in (*zip(*pairs, strict=True), [a + b for a, b in pairs]))
+        keys = left * self.size + right
+        order = np.argsort(keys, kind="stable")
+        self.keys, self.ranks, self.made = keys[order], order.astype(np.int32), made.astype(np.int32)
+        born = np.full(self.size, -1, np.int64)
+        born[made[::-1]] = np.arange(len(made))[::-1]
+        self.ordered = bool((np.maximum(born[left], born[right]) < np.arange(len(made))).all())
+        self.names: list[bytes] = [b""] * self.size
+        self.is_name = np.zeros(self.size, bool)
+        byte = {c: b for b, c in enumerate(names)}
+        for x, i in [*vocab.items(), *self.added.items()]:
+            self.names[i] = bytes(map(byte.__getitem__, x)) if self.bytes_out and all(c in byte for c in x) else x.encode()
+            self.is_name[i] = True
+        self.decimal = [str(i).encode() for i in range(self.size)]
+
     def _merge(self, symbols: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all words, one after the other, and how many each has."""
         word, out_word, out = np.arange(len(sizes)), [np.zeros(0, np.int64)], [np.zeros(0, np.int32)]
@@ -234,68 +314,17 @@ class Bpe:
         place = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
         rank[at] = np.where(self.keys[place] == key, self.ranks[place], _NEVER)
 
-    def _different(self, raw: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The first place of every different word, and for each word which of those it is."""
-        at = np.cumsum(sizes) - sizes
-        inner = np.arange(int(sizes.sum())) - np.repeat(at, sizes)
-        power = np.cumprod(np.full(int(sizes.max()) + 1, 0x9E3779B97F4A7C15, np.uint64))
-        flat = _gather(raw, starts, sizes)
-        hashes = mix(np.add.reduceat(self.base[flat] * power[inner], at) + sizes.astype(np.uint64))
-        _, first, which = np.unique(hashes, return_index=True, return_inverse=True)
-        twin = first[which]
-        if (sizes == sizes[twin]).all() and (flat == _gather(raw, starts[twin], sizes)).all():
-            return first, which
-        return np.arange(len(starts)), np.arange(len(starts))  # two words share a hash: all are merged by themselves
-
-    # --- texts ------------------------------------------------------------------------------
-
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts one after the other, and each text's bounds in them."""
-        parts, follows, counts = [], [], []
-        for text in texts:
-            found = self.cut(text) if self.cut and any(x in text for x in self.added) else [text]
-            parts += map(self._normal, found[::2])
-            follows += [self.added[x] for x in found[1::2]] + [-1]
-            counts.append(len(follows))
-        if not parts:
+        if not texts:
             return np.zeros(0, np.uint32), np.zeros(1, np.int64)
-        joined = "\0".join([*parts, ""])
-        raw = np.frombuffer(joined.encode(), np.uint8)
-        try:
-            points = np.frombuffer(joined.encode("latin-1"), np.uint8)
-        except UnicodeEncodeError:
-            points = np.frombuffer(joined.encode("utf-32-le"), np.uint32)
-        kind = self.classes[points]
-        breaks = np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)) + 1) - 1
-        kind[breaks] = _BREAK
-        start = np.flatnonzero(self._starts(points, kind))
-        end = np.append(start[1:], len(points))
-        a_word = kind[start] != _BREAK
-        if self.alone:
-            entry = a_word & (kind[start] != _SPACE) | ~a_word
-            start, end, a_word = start[entry], end[entry], a_word[entry]
-        if len(raw) != len(points):
-            place = np.concatenate([[0], np.cumsum(1 + (points >= 0x80).astype(np.int8) + (points >= 0x800) + (points >= 0x10000), dtype=np.int64)])
-            lo, size = place[start[a_word]], place[end[a_word]] - place[start[a_word]]
-        else:
-            lo, size = start[a_word], (end - start)[a_word]
-        # Entries: the different words, then one per added id, then an empty one.
-        extra = sorted(set(self.added.values()))
-        which = np.empty(len(start), np.int64)
+        raw, lo, size, which, texts_end = self.split(texts)
         ids, sizes = np.zeros(0, np.int32), np.zeros(0, np.int64)
         if len(lo):
-            first, which[a_word] = self._different(raw, lo, size)
-            symbols = self.inner[_gather(raw, lo[first], size[first])]
-            tail = np.cumsum(size[first]) - 1
-            symbols[tail] = self.last[raw[lo[first] + size[first] - 1]]
-            ids, sizes = self._merge(symbols, size[first])
-        slot = {-1: len(sizes) + len(extra)} | {x: len(sizes) + i for i, x in enumerate(extra)}
-        which[~a_word] = [slot[x] for x in follows]
-        ids = np.concatenate([ids, np.array(extra, np.int32)]).astype(np.uint32)
-        sizes = np.concatenate([sizes, np.ones(len(extra), np.int64), [0]])
-        size = sizes[which]
-        texts_end = np.flatnonzero(~a_word)[np.array(counts) - 1]
-        return _gather(ids, (np.cumsum(sizes) - sizes)[which], size), np.concatenate([[0], np.cumsum(size)[texts_end]])
+            symbols = self.inner[_gather(raw, lo, size)]
+            symbols[np.cumsum(size) - 1] = self.last[raw[lo + size - 1]]
+            ids, sizes = self._merge(symbols, size)
+        return self.join(ids, np.cumsum(sizes) - sizes, sizes, which, texts_end)
 
     def decode(self, ids: np.ndarray) -> str:
         """The names of the ids joined; ids that the file does not have are left out."""

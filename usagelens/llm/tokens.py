@@ -1,131 +1,89 @@
 """Token ids by the tokenizers library, with one call per new word instead of one per text.
 
-A text is cut where the tokenizer's own first step cuts it in any case, so encoding the parts and
-joining the ids gives the ids of the whole text. The parts seen so far are kept with their ids, up to
-`KEEP` parts, then the table starts anew; that bounds memory and changes no id. As in the library, a
-tokenizer's added tokens (such as <|endoftext|>) that occur in a text are found first, as written there,
-and are one id each; what stands between them is cut as a text of its own.
+A text is normalised and cut where the tokenizer's own first step cuts it in any case (`bpe.Words`), so encoding the words and
+joining the ids gives the ids of the whole text. Equal words of a slice of texts are looked up once; the words seen so far are kept with their
+ids, up to `KEEP` words, then the table starts anew; that bounds memory and changes no id. As in the library, a tokenizer's
+added tokens (such as <|endoftext|>) that occur in a text are found first, as written there, and are one id each.
 """
 
 from __future__ import annotations
 
 import itertools
-import re
+import json
+import os
 
 import numpy as np
 
-#: Parts kept per Python worker.
-KEEP = 500_000
+from usagelens.llm.bpe import Words
 
-#: White space as Unicode has it: what the tokenizers' patterns call \s.
-_WS = "\t-\r \x85\xa0  -     　"
-#: Letters and signs between which the tokenizers always cut; an apostrophe is not among them.
-_LETTER, _SIGN = "A-Za-zÀ-ÖØ-öø-ÿ", r"!\"#$%&()*+,\-./:;<=>?@\[\\\]^_`{|}~"
-_CLEAN = f"(?:[{_LETTER}]++|[{_SIGN}]++)(?=[{_LETTER}{_SIGN}{_WS}]|\\Z)"
-#: A run of letters or signs, else all up to the next white space; with the one blank before it, and the
-#: blanks before that (but a white space that is not a blank stands alone).
-_BLANK_KEPT = re.compile(f" ?{_CLEAN}| ?[^{_WS}]+|[{_WS}]+(?![^{_WS}])|[{_WS}]")
-_BLANK_DROPPED = re.compile(f"{_CLEAN}|[^{_WS}]+")
-_ALONE = re.compile(f" ?(?:[{_LETTER}]+|[{_SIGN}]+)").fullmatch
+#: Words kept per Python worker.
+KEEP = 500_000
+#: Characters of texts cut at once, more only for a longer text.
+TOGETHER = 1 << 21
 
 _open: dict = {}
 
 
 class Encoder:
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers
 
+        # One word is little work: handing it to threads costs more than it saves, and Spark has a task for each core.
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        with open(path, encoding="utf-8") as f:
+            self.words = Words(json.load(f), path)
         self.tokenizer = Tokenizer.from_file(path)
-        added = self.tokenizer.get_added_tokens_decoder()
-        if any(x.normalized or x.lstrip or x.rstrip or x.single_word or not x.special for x in added.values()):
-            raise ValueError(f"{path}: added tokens that are not found as written")
-        #: Added tokens as parts: no part of a text begins with a line feed and goes on with a sign or letter.
-        self.added = {"\n" + x.content: [i] for i, x in added.items()}
-        self.names = [x.content for x in added.values()]
-        # The longest of those that begin at a place counts.
-        self.cut = re.compile("(" + "|".join(map(re.escape, sorted(self.names, key=len, reverse=True))) + ")").split
-        # Parts hold none as written; one that lower-casing makes is ordinary text.
-        self.tokenizer.encode_special_tokens = True
         self.size = self.tokenizer.get_vocab_size()
-        # Byte-level tokenizers keep the blank with the word; the others drop white space.
-        kept = self.tokenizer.normalizer is None
-        self.parts = _BLANK_KEPT.findall if kept else self._lower_parts
-        # Stands between new parts that are encoded in one go: one id that no run of letters or signs has.
-        self.comma = "\n" if kept else " 0 "
-        [self.comma_id] = self.tokenizer.encode(self.comma, add_special_tokens=False).ids
+        # Words come normalised, and hold no added token as written; one that lower-casing makes is ordinary text.
+        self.tokenizer.encode_special_tokens = True
+        if self.words.alone:
+            self.tokenizer.normalizer = normalizers.Sequence([])
         self._clear()
 
-    @staticmethod
-    def _lower_parts(text: str) -> list[str]:
-        """These tokenizers lower-case; doing so first (where it is the same by any rule) finds more parts known."""
-        try:
-            text.encode("latin-1")
-        except UnicodeEncodeError:
-            return _BLANK_DROPPED.findall(text)
-        return _BLANK_DROPPED.findall(text.lower())
-
     def _clear(self) -> None:
-        self.known: dict[str, int] = {}
-        self.ids, self.starts, self.sizes, self.used = np.zeros(1 << 16, np.uint32), np.zeros(1 << 15, np.int64), np.zeros(1 << 15, np.int32), 0
-
-    def _together(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and sizes of parts of letters or signs, joined into one text and cut again."""
-        ids = np.array(self.tokenizer.encode(self.comma.join([*parts, ""]), add_special_tokens=False).ids, np.uint32)
-        cut = np.flatnonzero(ids == self.comma_id)
-        assert len(cut) == len(parts)
-        return np.delete(ids, cut), np.diff(np.concatenate([[-1], cut])) - 1
-
-    def _learn(self, parts: list[str]) -> None:
-        plain = [bool(_ALONE(x)) for x in parts]
-        parts = [x for x, p in zip(parts, plain, strict=True) if p] + [x for x, p in zip(parts, plain, strict=True) if not p]
-        n = sum(plain)
-        found = [self._together(parts[lo : min(n, lo + 4096)]) for lo in range(0, n, 4096)]
-        rest = [self.added.get(part, x.ids) for part, x in zip(parts[n:], self.tokenizer.encode_batch_fast(parts[n:], add_special_tokens=False), strict=True)]
-        found.append((np.fromiter(itertools.chain.from_iterable(rest), np.uint32), np.fromiter(map(len, rest), np.int64, len(rest))))
-        ids, sizes = (np.concatenate(x) for x in zip(*found, strict=True))
+        self.known: dict[bytes, int] = {}
+        self.ids, self.starts, self.sizes, self.used = np.zeros(1 << 16, np.uint32), np.zeros(1 << 15, np.int64), np.zeros(1 << 15, np.int64), 0
+
+    def _learn(self, words: list[bytes]) -> None:
+        found = [x.ids for x in self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)]
+        sizes = np.fromiter(map(len, found), np.int64, len(found))
+        ids = np.fromiter(itertools.chain.from_iterable(found), np.uint32, int(sizes.sum()))
         at, end = len(self.known), self.used + len(ids)
         while end > len(self.ids):
             self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-        while at + len(parts) > len(self.starts):
+        while at + len(words) > len(self.starts):
             self.starts, self.sizes = (np.concatenate([x, np.zeros_like(x)]) for x in (self.starts, self.sizes))
         self.ids[self.used : end] = ids
-        self.starts[at : at + len(parts)] = self.used + np.cumsum(sizes) - sizes
-        self.sizes[at : at + len(parts)] = sizes
-        self.known.update(zip(parts, range(at, at + len(parts)), strict=True))
+        self.starts[at : at + len(words)] = self.used + np.cumsum(sizes) - sizes
+        self.sizes[at : at + len(words)] = sizes
+        self.known.update(zip(words, range(at, at + len(words)), strict=True))
         self.used = end
 
-    def _some(self, parts: list[str]) -> np.ndarray:
-        index = np.fromiter(map(self.known.get, parts, itertools.repeat(-1)), np.int64, len(parts))
-        if len(new := np.flatnonzero(index < 0)):
-            if len(self.known) + len(new) > KEEP:
-                self._clear()
-                new = range(len(parts))
-            self._learn(list(dict.fromkeys(parts[i] for i in new if parts[i] not in self.known)))
-            index = np.fromiter(map(self.known.__getitem__, parts), np.int64, len(parts))
-        size = self.sizes[index].astype(np.int64)
-        at = np.cumsum(size) - size
-        return self.ids[np.repeat(self.starts[index] - at, size) + np.arange(int(size.sum()))], size
-
-    def _all_parts(self, text: str) -> list[str]:
-        if not any(x in text for x in self.names):
-            return self.parts(text)
-        between = self.cut(text)
-        return [part for i, x in enumerate(between) for part in (["\n" + x] if i % 2 else self.parts(x))]
+    def _some(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        raw, lo, size, which, texts_end = self.words.split(texts)
+        data = raw.tobytes()
+        words = [data[a:b] for a, b in zip(lo.tolist(), (lo + size).tolist(), strict=True)]
+        if len(self.known) + len(words) > KEEP:
+            self._clear()
+        new = [w for w in words if w not in self.known]
+        if new:
+            self._learn(list(dict.fromkeys(new)))
+        at = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
+        return self.words.join(self.ids[: self.used], self.starts[at], self.sizes[at], which, texts_end)
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts one after the other, and each text's bounds in them."""
-        parts, counts = [], np.zeros(len(texts) + 1, np.int64)
-        for i, text in enumerate(texts):
-            found = self._all_parts(text)
-            parts += found
-            counts[i + 1] = len(found)
-        ids, sizes = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
-        for lo in range(0, len(parts), KEEP // 4):
-            some, size = self._some(parts[lo : lo + KEEP // 4])
+        ids, bounds, lo = [np.zeros(0, np.uint32)], [np.zeros(1, np.int64)], 0
+        while lo < len(texts):
+            hi, held = lo, 0
+            while hi < len(texts) and (hi == lo or held + len(texts[hi]) <= TOGETHER):
+                held += len(texts[hi])
+                hi += 1
+            some, ends = self._some(texts[lo:hi])
             ids.append(some)
-            sizes.append(size)
-        ends = np.concatenate([[0], np.cumsum(np.concatenate(sizes))])
-        return np.concatenate(ids), ends[np.cumsum(counts)]
+            bounds.append(ends[1:] + bounds[-1][-1])
+            lo = hi
+        return np.concatenate(ids), np.concatenate(bounds)
 
 
 def encoder(path: str) -> Encoder:
