@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tests.test_sources import assistant, context, meta, spent, user, write
 from usagelens.job import run
+from usagelens.operators import billing as B, trends as T
 from usagelens.sources.tables import read_usage
 
 
@@ -27,7 +28,7 @@ def test_logs_to_report(spark, tmp_path):
     run(
         spark, agent_a=[(str(tmp_path / "a"), "mac"), (str(tmp_path / "a2"), "pc")], agent_b=[(str(tmp_path / "b"), "mac")],
         as_of=str(datetime(2024, 5, 15, 12)), out=out, titles=str(tmp_path / "t"),
-        sections=("totals", "by_session", "by_device", "errors_by_category", "current_window", "recent_turns"),
+        sections=("totals", "by_session", "by_device", "errors_by_category", "current_window", "block_eta", "daily", "baseline", "recent_turns"), per_source=True,
     )
     u = read_usage(spark, f"{out}/usage")
     assert sorted((r.message_id, r.device, r.turn_id) for r in u.collect()) == [("B:0", "mac", "T1"), ("m1", "mac", "u1"), ("m2", "mac", "u1"), ("m9", "pc", "z")]
@@ -44,6 +45,13 @@ def test_logs_to_report(spark, tmp_path):
     assert section("current_window")[0].active
     assert {r.device for r in section("by_device")} == {"mac", "pc"}
     assert section("ingest_quality")[0].parse_errors == 0
+    assert section("current_window") == B.current_window(u, as_of="2024-05-15 12:00:00").collect()
+    assert section("baseline") == T.baseline(u, as_of="2024-05-15 12:00:00").collect()
+    assert [r.messages for r in section("daily")] == [1, 3]
+    meta_row = section("meta")[0]
+    assert (meta_row.record_count, meta_row.files_scanned, meta_row.as_of) == (4, 3, "2024-05-15 12:00:00")
+    alone = spark.read.parquet(f"{out}/sources/agent_b/totals").collect()
+    assert [r.messages for r in alone] == [1] and spark.read.parquet(f"{out}/sources/agent_a/meta").first().record_count == 3
 
 
 def fingerprint(spark, out):

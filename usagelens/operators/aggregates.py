@@ -23,8 +23,9 @@ def daily_base(usage: DataFrame, keys=()) -> DataFrame:
     )
 
 
-def daily(usage: DataFrame, *, as_of=None, keys=()) -> DataFrame:
-    return daily_base(C.until(usage, as_of), keys).select(*keys, "date", *C.totals_out()).orderBy(*keys, "date")
+def daily(usage: DataFrame, *, as_of=None, keys=(), daily: DataFrame | None = None) -> DataFrame:
+    """Totals per day; `daily` as given is `daily_base` of the records up to as_of."""
+    return (daily_base(C.until(usage, as_of), keys) if daily is None else daily).select(*keys, "date", *C.totals_out()).orderBy(*keys, "date")
 
 
 def by_model(usage: DataFrame, *, as_of=None, keys=()) -> DataFrame:

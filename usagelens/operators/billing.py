@@ -39,9 +39,10 @@ def windows_base(usage: DataFrame, keys=(), fold_limit: int = FOLD_LIMIT) -> Dat
 
 
 def billing_windows(
-    usage: DataFrame, *, as_of=None, keys=(), last_n: int | None = None, fold_limit: int = FOLD_LIMIT
+    usage: DataFrame, *, as_of=None, keys=(), last_n: int | None = None, fold_limit: int = FOLD_LIMIT, windows: DataFrame | None = None
 ) -> DataFrame:
-    base = windows_base(C.until(usage, as_of), keys, fold_limit)
+    """The windows of the records up to as_of, or `windows` as given."""
+    base = windows_base(C.until(usage, as_of), keys, fold_limit) if windows is None else windows
     if last_n:
         base = C.top_n(base, keys, [F.desc("start_us")], last_n)
     return base.select(

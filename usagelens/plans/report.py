@@ -4,8 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
-from usagelens.operators import aggregates as A, billing as B, burn as U, efficiency as E, joins as J, trends as T
+from usagelens.operators import aggregates as A, billing as B, burn as U, common as C, efficiency as E, joins as J, trends as T
 from usagelens.schema import enrich
+from usagelens.session import cut_lineage
+
+#: Sections made of the windows, and of the day totals.
+ON_WINDOWS = ("windows", "plan_inference", "window_baseline", "current_window", "block_eta", "burn_rate_zones")
+ON_DAYS = ("daily", "weekly_cap", "anomalies", "baseline", "forecast")
 
 
 def build_report(
@@ -20,16 +25,26 @@ def build_report(
     plan: str | None = None,
     sections=None,
 ) -> dict[str, DataFrame]:
-    """Section name -> lazy DataFrame. Persist `usage` before writing many sections."""
+    """Section name -> lazy DataFrame. Persist `usage` before writing many sections. What several of the wanted sections are made
+    of, the day totals and the windows, is written once to the shared folder; those sections do not read `usage` again for it."""
     e = enrich(usage)
     p = {"as_of": as_of, "keys": keys}
+    known = C.until(e, as_of)
+
+    def base(users, made):
+        shared = [name for name in users if sections is None or name in sections]
+        return cut_lineage(made()) if len(shared) > 1 else None
+
+    windows = base(ON_WINDOWS, lambda: B.windows_base(known, keys))
+    daily = base(ON_DAYS, lambda: A.daily_base(known, keys))
+    w, d = {"windows": windows}, {"daily": daily}
 
     def titled(df):
         return J.enrich_titles(df, titles) if titles is not None else df
 
     makers = {
         "totals": lambda: A.totals(e, **p),
-        "daily": lambda: A.daily(e, **p),
+        "daily": lambda: A.daily(e, **d, **p),
         "by_model": lambda: A.by_model(e, **p),
         "by_model_full": lambda: A.by_model_full(e, **p),
         "by_project": lambda: A.by_project(e, **p),
@@ -40,18 +55,18 @@ def build_report(
         "recent_turns": lambda: titled(A.recent_turns(e, **p)),
         "usage_heatmap": lambda: A.usage_heatmap(e, **p),
         "cache_efficiency": lambda: A.cache_efficiency(e, **p),
-        "windows": lambda: B.billing_windows(e, last_n=30, **p),
-        "plan_inference": lambda: B.plan_inference(e, **p),
-        "window_baseline": lambda: B.window_baseline(e, **p),
-        "current_window": lambda: B.current_window(e, plan=plan, **p),
-        "block_eta": lambda: B.block_eta(e, **p),
-        "burn_rate_zones": lambda: B.burn_rate_zones(e, **p),
-        "weekly_cap": lambda: T.weekly_cap(e, **p),
-        "anomalies": lambda: T.daily_anomalies(e, **p),
-        "baseline": lambda: T.baseline(e, **p),
+        "windows": lambda: B.billing_windows(e, last_n=30, **w, **p),
+        "plan_inference": lambda: B.plan_inference(e, **w, **p),
+        "window_baseline": lambda: B.window_baseline(e, **w, **p),
+        "current_window": lambda: B.current_window(e, plan=plan, **w, **p),
+        "block_eta": lambda: B.block_eta(e, **w, **p),
+        "burn_rate_zones": lambda: B.burn_rate_zones(e, **w, **p),
+        "weekly_cap": lambda: T.weekly_cap(e, **d, **p),
+        "anomalies": lambda: T.daily_anomalies(e, **d, **p),
+        "baseline": lambda: T.baseline(e, **d, **p),
         "daily_burn_rates": lambda: T.daily_burn_rates(e, **p),
         "burn_rate_timeseries": lambda: T.burn_rate_timeseries(e, **p),
-        "forecast": lambda: T.forecast(e, **p),
+        "forecast": lambda: T.forecast(e, **d, **p),
         "burn_rates_by_hours": lambda: U.burn_rates_by_hours(e, **p),
         "burn_by_model": lambda: U.burn_by_model(e, **p),
         "recent_costs": lambda: U.recent_costs(e, **p),
