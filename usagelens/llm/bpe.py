@@ -90,8 +90,11 @@ def _alphabet() -> list[str]:
 
 def _gather(values: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """The stretches of `values` one after the other."""
-    at = np.cumsum(sizes) - sizes
-    return values[np.repeat(starts - at, sizes) + np.arange(int(sizes.sum()))]
+    total = int(sizes.sum())
+    kind = np.int32 if max(total, len(values)) < 1 << 31 else np.int64
+    index = np.repeat((starts - (np.cumsum(sizes) - sizes)).astype(kind), sizes)
+    index += np.arange(total, dtype=kind)
+    return values[index]
 
 
 class Words:
@@ -168,7 +171,10 @@ class Words:
     def _different(self, raw: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The first place of every different word, and for each word which of those it is."""
         at = np.cumsum(sizes) - sizes
-        inner = np.arange(int(sizes.sum())) - np.repeat(at, sizes)
+        total = int(sizes.sum())
+        kind = np.int32 if total < 1 << 31 else np.int64
+        inner = np.arange(total, dtype=kind)
+        inner -= np.repeat(at.astype(kind), sizes)
         power = np.cumprod(np.full(int(sizes.max()) + 1, 0x9E3779B97F4A7C15, np.uint64))
         flat = _gather(raw, starts, sizes)
         hashes = mix(np.add.reduceat(self.base[flat] * power[inner], at) + sizes.astype(np.uint64))

@@ -47,13 +47,16 @@ class WaveletMatrix:
 
     @classmethod
     def build(cls, ids: np.ndarray, bits: int) -> WaveletMatrix:
-        planes, zeros, now = [], [], ids
+        planes, zeros, now = [], [], ids.astype(np.uint16 if bits <= 16 else np.uint32)
         for b in range(bits - 1, -1, -1):
-            one = (now >> b) & 1 == 1
+            one = (now & now.dtype.type(1 << b)).astype(bool)
             planes.append(np.packbits(one))
-            zero = now[~one]
-            zeros.append(len(zero))
-            now = np.concatenate([zero, now[one]])
+            if b:
+                zero, more = now[~one], now[one]
+                zeros.append(len(zero))
+                now = np.concatenate([zero, more])
+            else:
+                zeros.append(len(now) - int(np.count_nonzero(one)))
         return cls(len(ids), planes, zeros)
 
     def to_bytes(self) -> bytes:
@@ -113,14 +116,19 @@ class WaveletMatrix:
 
     def all(self) -> np.ndarray:
         """The whole sequence."""
-        now = np.zeros(self.n, np.uint32)
+        kind = np.uint16 if len(self.zeros) <= 16 else np.uint32
+        now = np.zeros(self.n, kind)
         for level in range(len(self.zeros) - 1, -1, -1):
             one = np.unpackbits(self.planes[level], count=self.n).view(bool)
+            bit = kind(1 << (len(self.zeros) - 1 - level))
+            if level == len(self.zeros) - 1:
+                now = one.astype(kind) * bit
+                continue
             before = np.empty_like(now)
             before[~one] = now[: self.zeros[level]]
-            before[one] = now[self.zeros[level] :] | np.uint32(1 << (len(self.zeros) - 1 - level))
+            before[one] = now[self.zeros[level] :] | bit
             now = before
-        return now
+        return now.astype(np.uint32)
 
 
 def write_tokens(docs: DataFrame, tokenizer: str, path: str, end: int = END, shard: int = SHARD) -> None:

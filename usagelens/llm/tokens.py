@@ -17,9 +17,9 @@ import numpy as np
 from usagelens.llm.bpe import Words
 
 #: Words kept per Python worker.
-KEEP = 500_000
+KEEP = 1_000_000
 #: Characters of texts cut at once, more only for a longer text.
-TOGETHER = 1 << 21
+TOGETHER = 1 << 22
 
 _open: dict = {}
 
@@ -65,10 +65,11 @@ class Encoder:
         words = [data[a:b] for a, b in zip(lo.tolist(), (lo + size).tolist(), strict=True)]
         if len(self.known) + len(words) > KEEP:
             self._clear()
-        new = [w for w in words if w not in self.known]
-        if new:
-            self._learn(list(dict.fromkeys(new)))
-        at = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
+        at = np.fromiter(map(self.known.get, words, itertools.repeat(-1)), np.int64, len(words))
+        if len(new := np.flatnonzero(at < 0)):
+            fresh = [words[i] for i in new.tolist()]
+            self._learn(list(dict.fromkeys(fresh)))
+            at[new] = np.fromiter(map(self.known.__getitem__, fresh), np.int64, len(fresh))
         return self.words.join(self.ids[: self.used], self.starts[at], self.sizes[at], which, texts_end)
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
