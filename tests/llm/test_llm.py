@@ -65,3 +65,43 @@ def test_pieces_round_trip(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").limit(40)
     got = {r["doc_id"]: r["text"] for r in pieces.decode(pieces.encode(docs, path, 500), path).collect()}
     assert got == {r["doc_id"]: r["text"] for r in docs.collect()}
+
+
+def _without_repeats(docs: list[tuple], run: int, words: int) -> dict:
+    """Text per doc_id by the definition: every run that stood before loses its lines."""
+    seen, out = set(), {}
+    for doc_id, text in docs:
+        lines = text.split("\n")
+        at = [i for i, x in enumerate(lines) if x.split()]
+        gone = set()
+        for s in range(len(at)):
+            for k in range(1, run + 1):
+                part = at[s : s + k]
+                if len(part) == k and (k == run or sum(len(lines[i].split()) for i in part) >= words):
+                    passage = tuple(lines[i].strip() for i in part)
+                    gone |= set(range(part[0], part[-1] + 1)) if passage in seen else set()
+                    seen.add(passage)
+                    break
+        out[doc_id] = "\n".join(x for i, x in enumerate(lines) if i not in gone)
+    return out
+
+
+def test_lines_repeat_by_words_and_by_lines(spark):
+    rng = np.random.default_rng(4)
+    sizes = [0, 1, 3, 6, 9, 12]
+    lines = [" ".join(f"l{i}w{j}" for j in range(sizes[i % 6])) for i in range(14)]
+    docs = [(d, "\n".join(lines[i] for i in rng.integers(0, 14, rng.integers(1, 9)))) for d in range(120)]
+    got = line_dedup.drop_repeated_lines(spark.createDataFrame(docs, "doc_id long, text string"), run=3, words=10)
+    assert {r["doc_id"]: r["text"] for r in got.collect()} == _without_repeats(docs, 3, 10)
+
+
+def test_a_long_line_is_a_passage_and_columns_may_clash(spark, odd):
+    passage = " ".join(f"word{i}" for i in range(60))
+    rows = [(1, f"first\n{passage}\nend", "a", "b", "c"), (2, f"other\n {passage}\t", "d", None, "f"), (3, f"{passage} and more\nshort\nshort", "g", "h", "i")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, gone string, __key string, n_lines string")
+    got = line_dedup.drop_repeated_lines(docs)
+    assert got.columns == ["doc_id", "text", "gone", "__key", "n_lines", "n_deleted"]
+    assert [tuple(r) for r in got.orderBy("doc_id").collect()] == [
+        (1, rows[0][1], "a", "b", 3, 0), (2, "other", "d", None, 2, 1), (3, rows[2][1], "g", "h", 3, 0)]
+    assert line_dedup.drop_repeated_lines(odd).count() == len(ODD)
+    assert line_dedup.drop_repeated_lines(docs.limit(0)).count() == 0

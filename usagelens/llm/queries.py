@@ -19,10 +19,14 @@ _WORD = r"[^\x20\x09-\x0D]"
 LINE_DEDUP_SQL = r"""
 lines AS (
   SELECT doc_id, text, unnest(range(len(l))) AS i, unnest(l) AS line FROM (SELECT doc_id, text, string_split(coalesce(text, ''), chr(10)) AS l FROM {docs})
-), worded AS (
+), trimmed AS (
   SELECT doc_id, i, regexp_replace(line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g') AS h FROM lines WHERE regexp_matches(line, '[^\x20\x09-\x0D]')
+), worded AS (
+  SELECT *, len(string_split_regex(h, '[\x20\x09-\x0D]+')) AS w FROM trimmed
 ), runs AS (
-  SELECT doc_id, i, lead(i, 2) OVER w AS j, [h, lead(h) OVER w, lead(h, 2) OVER w] AS run FROM worded WINDOW w AS (PARTITION BY doc_id ORDER BY i)
+  SELECT doc_id, i, CASE WHEN w >= 50 THEN i WHEN w + lead(w) OVER o >= 50 THEN lead(i) OVER o ELSE lead(i, 2) OVER o END AS j,
+         CASE WHEN w >= 50 THEN [h] WHEN w + lead(w) OVER o >= 50 THEN [h, lead(h) OVER o] ELSE [h, lead(h) OVER o, lead(h, 2) OVER o] END AS run
+  FROM worded WINDOW o AS (PARTITION BY doc_id ORDER BY i)
 ), placed AS (
   SELECT *, row_number() OVER (PARTITION BY run ORDER BY doc_id, i) AS place FROM runs WHERE j IS NOT NULL
 ), gone AS (
