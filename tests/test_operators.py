@@ -1,3 +1,4 @@
+import bisect
 import random
 from datetime import datetime, timedelta
 
@@ -68,8 +69,9 @@ def test_anchored_windows_equal_sequential_walk(spark, seed):
     assert sum(w.window_tokens for w in wins) == len(rows)
 
 
-@pytest.mark.parametrize("seed", range(3))
-def test_commit_cost_by_definition(spark, seed):
+@pytest.mark.parametrize(("seed", "broadcast"), [(0, 20_000), (1, 0), (2, 3)])
+def test_commit_cost_by_definition(spark, monkeypatch, seed, broadcast):
+    monkeypatch.setattr(J, "BROADCAST_COMMITS", broadcast)
     rng = random.Random(seed)
     base = NOW - timedelta(days=3)
     commits, rows = [], []
@@ -91,6 +93,31 @@ def test_commit_cost_by_definition(spark, seed):
     assert {r.sha: (r.tokens, r.sessions) for r in got} == want
 
 
+@pytest.mark.parametrize("broadcast", [20_000, 0])
+def test_commit_cost_of_a_hot_project(spark, monkeypatch, broadcast):
+    """All records in one project, half of them in one quarter hour with many commits: no record is sorted."""
+    monkeypatch.setattr(J, "BROADCAST_COMMITS", broadcast)
+    base = datetime(2024, 5, 14, 9)
+    span = "IF(id % 2 = 0, id % 900, id % 86400)"
+    rows = spark.range(60_000).selectExpr(
+        f"TIMESTAMP_NTZ '{base}' + make_dt_interval(0, 0, 0, {span}) AS timestamp", "'/w/hot' AS project_dir", "concat('s', id % 7) AS session_id", "id % 5 AS total_tokens", "id % 11 * 1000000 AS cost_nano")
+    u = rows.selectExpr("*", "'x' AS family", "total_tokens AS billable_tokens", "1L AS effective_tokens", "to_date(timestamp) AS date")
+    commits = spark.range(400).selectExpr(
+        f"TIMESTAMP_NTZ '{base}' + make_dt_interval(0, 0, 0, IF(id < 300, id * 3, id * 211)) AS timestamp", "'/w/hot' AS project_dir", "concat('c', lpad(id, 6, '0')) AS sha", "'m' AS message", "'a' AS author")
+    got = J.commit_cost(u, commits, as_of=base + timedelta(days=2))
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan and "Sort " not in plan
+    at = sorted(r.timestamp for r in commits.collect())
+    want = {}
+    for r in rows.collect():
+        i = bisect.bisect_left(at, r.timestamp)
+        if i < len(at) and at[i] - r.timestamp < timedelta(hours=4):
+            t, s = want.setdefault(at[i], [0, set()]), r.session_id
+            t[0] += r.total_tokens
+            t[1].add(s)
+    assert {str(r.timestamp): (r.tokens, r.sessions) for r in got.collect()} == {str(k): (v[0], len(v[1])) for k, v in want.items() if v[0]}
+
+
 def test_exact_percentiles(spark):
     rng = random.Random(1)
     data = {k: [rng.randrange(-10**6, 10**9) if k else 7 for _ in range(n)] for k, n in ((0, 50), (1, 1), (2, 1001))}
