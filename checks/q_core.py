@@ -154,6 +154,7 @@ JOIN (SELECT * FROM u QUALIFY row_number() OVER (PARTITION BY session_id ORDER B
 JOIN (SELECT * FROM u QUALIFY row_number() OVER (PARTITION BY session_id ORDER BY timestamp DESC, event_id DESC) = 1) l ON l.session_id = s.session_id
 ORDER BY ended DESC, s.session_id LIMIT 200"""
 reg("by_session", on_usage(A.by_session), q(SESSIONS))
+reg("by_session_newest", lambda s, d: A.by_session(enrich(V.usage(s, d)), as_of=V.AS_OF, limit=20), q(SESSIONS.replace("LIMIT 200", "LIMIT 20")))
 reg("by_session_all", on_usage(A.by_session, limit=None), q(SESSIONS.replace("ORDER BY ended DESC, s.session_id LIMIT 200", "")))
 
 SCOPES = (("lifetime", "true"), ("today", f"date >= {TODAY}"), ("h1", f"timestamp >= {NOW} - INTERVAL 1 HOUR"))
@@ -172,15 +173,13 @@ def rate(nano="nano", h="h"):
 
 
 reg("by_device_burn", on_usage(A.by_device_burn), q(f"SELECT device, window_hours, {rate()} AS cost_per_hour FROM ({burn_rows(['device'])})"))
-reg(
-    "recent_turns",
-    on_usage(A.recent_turns),
-    q(f"""SELECT {ts('t.last_ts')} AS timestamp, t.turn_id, session_id, project_label, project_dir, device, t.model, effective_tokens, {tout('t.').replace('AS messages', 'AS assistant_record_count')}
+TURNS = f"""SELECT {ts('t.last_ts')} AS timestamp, t.turn_id, session_id, project_label, project_dir, device, t.model, effective_tokens, {tout('t.').replace('AS messages', 'AS assistant_record_count')}
       FROM (SELECT turn_id, {tsums()}, sum(effective_tokens)::BIGINT AS effective_tokens, max(timestamp) AS last_ts, arg_max(model, (timestamp, event_id)) AS model,
         arg_min(session_id, (timestamp, event_id)) AS session_id, arg_min(project_label, (timestamp, event_id)) AS project_label,
         arg_min(project_dir, (timestamp, event_id)) AS project_dir, arg_min(device, (timestamp, event_id)) AS device
-        FROM u WHERE model <> '' AND model NOT LIKE '<%' GROUP BY turn_id) t ORDER BY last_ts DESC, turn_id LIMIT 30"""),
-)
+        FROM u WHERE model <> '' AND model NOT LIKE '<%' GROUP BY turn_id) t ORDER BY last_ts DESC, turn_id LIMIT 30"""
+reg("recent_turns", on_usage(A.recent_turns), q(TURNS))
+reg("recent_turns_newest", lambda s, d: A.recent_turns(enrich(V.usage(s, d)), as_of=V.AS_OF, limit=7), q(TURNS.replace("LIMIT 30", "LIMIT 7")))
 reg(
     "usage_heatmap",
     on_usage(A.usage_heatmap),

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from usagelens.functions import exact as X, pricing as P, text as S
 from usagelens.operators import common as C
+from usagelens.plans.newest import only_newest
 from usagelens.schema import enrich
 
 
@@ -73,17 +74,22 @@ def by_session(
     limit: int | None = 200,
 ) -> DataFrame:
     """Session totals, the recent slice and the last turn; zero-token sessions drop out
-    before the newest `limit` are kept. Intents and titles join the survivors only."""
+    before the newest `limit` are kept. Intents and titles join the survivors only.
+
+    Of a table by date, without keys, the newest sessions are found in the newest days first, so that only
+    their rows are summed; with keys some key may be idle since long, and one aggregation takes all."""
     recent = C.recent(as_of, recent_hours * 10_000)
     last_fields = (
         "timestamp", "model", "input_tokens", "output_tokens", "cache_creation_tokens",
         "cache_read_tokens", "total_tokens", "cost_nano", "effective_tokens",
     )
     first_fields = ("project_label", "project_dir", "git_branch")
+    rows = C.until(enrich(usage), as_of).withColumn("session_id", S.or_unknown("session_id"))
+    if not keys and "date" in usage.columns:
+        # Tokens are not negative, so a session with some in the newest days has some in all.
+        rows = only_newest(rows, "session_id", as_of=as_of, limit=limit, certain=F.sum("total_tokens") > 0)
     grouped = (
-        C.until(enrich(usage), as_of)
-        .withColumn("session_id", S.or_unknown("session_id"))
-        .groupBy(*keys, "session_id")
+        rows.groupBy(*keys, "session_id")
         .agg(
             *C.totals_aggs(),
             *C.totals_aggs(recent, "r_"),
@@ -212,15 +218,20 @@ def by_device_burn(usage: DataFrame, *, as_of, keys=()) -> DataFrame:
 
 
 def recent_turns(usage: DataFrame, *, as_of=None, keys=(), limit: int | None = 30) -> DataFrame:
-    """Newest turns. Placeholder models go before the cut, so they never take a slot."""
+    """Newest turns. Placeholder models go before the cut, so they never take a slot. Of a table by
+    date, without keys, the newest turns are found in the newest days first, and only their rows are summed."""
     turn = F.coalesce(*[F.nullif(c, F.lit("")) for c in ("turn_id", "message_id", "uuid")])
     first_fields = ("session_id", "project_label", "project_dir", "device")
-    out = (
+    rows = (
         C.until(enrich(usage), as_of)
         .where((F.coalesce("model", F.lit("")) != "") & ~F.startswith("model", F.lit("<")))
         .withColumn("turn_id", turn)
         .where(F.col("turn_id").isNotNull())
-        .groupBy(*keys, "turn_id")
+    )
+    if not keys and "date" in usage.columns:
+        rows = only_newest(rows, "turn_id", as_of=as_of, limit=limit)
+    out = (
+        rows.groupBy(*keys, "turn_id")
         .agg(
             *C.totals_aggs(),
             F.sum("effective_tokens").alias("effective_tokens"),
