@@ -10,7 +10,7 @@ import tempfile
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 #: White space that ends a word: blank and U+0009 to U+000D.
 SPACE = r"[\\x20\\x09-\\x0D]"
@@ -46,11 +46,14 @@ def importable(spark: SparkSession) -> None:
         _ship(spark.sparkContext.applicationId)
 
 
-def sampled_cuts(rows: DataFrame, tasks: int, sample: int = 4_000) -> list[int]:
+def sampled_cuts(rows: DataFrame, tasks: int, sample: int = 4_000, key: Column | str = "key") -> list[int]:
     """Keys that cut `rows` (key, weight) into `tasks` stretches of about equal weight, from a sample of at
-    most twice `sample` rows. They only place the cuts between tasks."""
+    most twice `sample` rows; a `key` that is yet to be computed is computed for those only. They only place
+    the cuts between tasks."""
+    key = F.col(key) if isinstance(key, str) else key
     share = min(1.0, sample / max(1, rows.count()))
-    found = sorted((r["key"], (r["weight"] or 0) + 1) for r in rows.sample(share, seed=5).limit(2 * sample).collect())
+    some = rows.sample(share, seed=5).select(key.alias("key"), "weight").limit(2 * sample)
+    found = sorted((r["key"], (r["weight"] or 0) + 1) for r in some.collect())
     if not found:
         return []
     ends = np.cumsum([w for _, w in found])

@@ -155,7 +155,7 @@ def pack(docs: DataFrame, tokenizer: str, length: int = LENGTH, end: int = END,
             yield _rows(rest, with_ids)
 
     placed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("tie", F.xxhash64("doc_id", "text"))
-    cuts = np.array(sampled_cuts(placed.select(_place("text", "tie").alias("key"), F.length("text").alias("weight")), tasks), np.int64)
+    cuts = np.array(sampled_cuts(placed.withColumn("weight", F.length("text")), tasks, key=_place("text", "tie")), np.int64)
 
     @F.arrow_udf(T.StructType([T.StructField("place", T.LongType()), T.StructField("stretch", T.IntegerType())]))
     def locate(text: pa.Array, tie: pa.Array) -> pa.Array:
