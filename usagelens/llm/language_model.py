@@ -48,6 +48,10 @@ END, START = np.uint64(0xE17D_0000_0000_0001), np.uint64(0x57A7_0000_0000_0001)
 _BLOCK = 1 << 15
 _LANES = 32
 _ROWS = 1 << 15
+#: Rows of class masses made at once, few enough to stay in a processor's cache.
+_CLOSE = 1 << 11
+#: Histories of a task held until equal ones are counted.
+_HELD = 1 << 22
 
 
 def with_split(docs: DataFrame) -> DataFrame:
@@ -124,6 +128,18 @@ def _features(one: np.ndarray, two: np.ndarray) -> list[np.ndarray]:
     return [(mix(one) % np.uint64(a)).astype(np.int64), a + (pair % np.uint64(b)).astype(np.int64), a + b + (mix(two + np.uint64(77)) % np.uint64(c)).astype(np.int64)]
 
 
+def _histories(words: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """The three features of every word as one number."""
+    one, two, skip = _features(*_history(words, bounds))
+    return (one * sum(FEATURES) + two) * sum(FEATURES) + skip
+
+
+def _of_history(numbers: np.ndarray) -> list[np.ndarray]:
+    """The features that `_histories` made each number of."""
+    rest, skip = np.divmod(numbers, sum(FEATURES))
+    return [*np.divmod(rest, sum(FEATURES)), skip]
+
+
 def _pair_bucket(previous: np.ndarray, at: np.ndarray) -> np.ndarray:
     return (mix((previous.astype(np.uint64) << np.uint64(32)) + at.astype(np.uint64)) % np.uint64(PAIRS)).astype(np.int64)
 
@@ -162,6 +178,26 @@ class Model:
             z += self.weights[f]
         return np.exp(z, out=z)
 
+    def add_expected(self, sums: np.ndarray, histories: np.ndarray, times: np.ndarray) -> None:
+        """Adds to `sums`, a row per class, how often each feature is expected to come with the class; `histories`
+        are different and in rising order."""
+        features = _of_history(histories)
+        by_class = np.empty((CLASSES, min(_ROWS, len(histories))))
+        for lo in range(0, len(histories), _ROWS):
+            some, often = [f[lo : lo + _ROWS] for f in features], times[lo : lo + _ROWS]
+            for at in range(0, len(some[0]), _CLOSE):
+                part = slice(at, at + _CLOSE)
+                p = self.class_masses([f[part] for f in some])
+                p *= (often[part] / p.sum(axis=1)).astype(np.float32)[:, None]
+                by_class[:, at : at + len(p)] = p.T
+            here = by_class[:, : len(some[0])]
+            # Histories come in the order of their first feature: its sums are sums of stretches.
+            starts = np.flatnonzero(np.diff(some[0], prepend=-1))
+            sums[:, some[0][starts]] += np.add.reduceat(here, starts, axis=1)
+            for f, first, size in zip(some[1:], np.cumsum(FEATURES[:-1]), FEATURES[1:], strict=True):
+                for c in range(CLASSES):
+                    sums[c, first : first + size] += np.bincount(f - first, here[c], size)
+
     def score(self, words: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Natural log probability of every word (without the word factor for tail words), and its place in the head."""
         at = self.head.find(words)
@@ -171,8 +207,8 @@ class Model:
         previous[1:] = own[:-1]
         previous[bounds[:-1]] = CLASSES
         features, out = _features(one, two), np.empty(len(words))
-        for lo in range(0, len(words), _ROWS):
-            part = slice(lo, lo + _ROWS)
+        for lo in range(0, len(words), _CLOSE):
+            part = slice(lo, lo + _CLOSE)
             mass = self.class_masses([f[part] for f in features])
             out[part] = np.log(mass[np.arange(len(mass)), own[part]] / mass.sum(axis=1))
         known = at < len(self.head.words)
@@ -184,8 +220,9 @@ class Model:
 # --- sums over the corpus -------------------------------------------------------------------------
 
 
-def _summed(train: DataFrame, size: int, add) -> np.ndarray:
-    """Adds up one array of `size` numbers over all documents: `add(sum, words, bounds)` per batch.
+def _summed(train: DataFrame, size: int, add, keyed=None) -> np.ndarray:
+    """Adds up one array of `size` numbers over all documents: `add(sum, words, bounds)` per batch, or with
+    `keyed`, which gives a whole number per word, `add(sum, distinct numbers, how often each)`.
 
     Tasks send blocks; blocks meet in lanes first, so no group grows with the number of tasks alone.
     """
@@ -193,10 +230,19 @@ def _summed(train: DataFrame, size: int, add) -> np.ndarray:
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        total, any_rows = np.zeros(size, np.float64), False
+        total, any_rows, held, n_held = np.zeros(size, np.float64), False, [], 0
         for _, words, bounds in _batches(batches):
-            add(total, words, bounds)
             any_rows = True
+            if keyed is None:
+                add(total, words, bounds)
+                continue
+            held.append(keyed(words, bounds))
+            n_held += len(words)
+            if n_held >= _HELD:
+                add(total, *np.unique(np.concatenate(held), return_counts=True))
+                held, n_held = [], 0
+        if held:
+            add(total, *np.unique(np.concatenate(held), return_counts=True))
         if any_rows:
             data, lane = total.astype(np.float32), TaskContext.get().partitionId() % _LANES
             blocks = range(0, size, _BLOCK)
@@ -292,18 +338,10 @@ def train_model(train: DataFrame, counts: DataFrame, updates: int = UPDATES, hea
     for _ in range(updates - 1):
         shared_model = spark.sparkContext.broadcast(model)
 
-        def expect(out: np.ndarray, words: np.ndarray, bounds: np.ndarray, given=shared_model) -> None:
-            features, sums = _features(*_history(words, bounds)), out.reshape(CLASSES, -1)
-            for lo in range(0, len(words), _ROWS):
-                some = [f[lo : lo + _ROWS] for f in features]
-                p = given.value.class_masses(some)
-                p /= p.sum(axis=1, keepdims=True)
-                by_class = np.ascontiguousarray(p.T).astype(np.float64)
-                for f, first, size in zip(some, np.cumsum((0, *FEATURES)), FEATURES):
-                    for c in range(CLASSES):
-                        sums[c, first : first + size] += np.bincount(f - first, by_class[c], size)
-
-        expected = _summed(train, rows, expect).reshape(CLASSES, -1).T
+        def expect(out: np.ndarray, histories: np.ndarray, times: np.ndarray, given=shared_model) -> None:
+            given.value.add_expected(out.reshape(CLASSES, -1), histories, times)
+
+        expected = _summed(train, rows, expect, keyed=_histories).reshape(CLASSES, -1).T
         model.weights += _step(observed, expected, prior, 0.6).astype(np.float32)
         shared_model.unpersist()
     return model
