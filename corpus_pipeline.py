@@ -35,8 +35,8 @@ def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [("quality", quality), ("lines", lines), ("near", near), ("personal", personal), ("packing", sequences)]
-#: Packing runs on token ids, which SQL cannot make. No test runs the whole pipeline; tests/llm hold the operators of the line, quality and
-#: near stages against SQL and packing against the tokenizers library, that of the personal stage only in single cases.
+#: Packing runs on token ids, which SQL cannot make. tests/llm run the whole pipeline on planted cases, and hold the operators of the line,
+#: quality and near stages against SQL and packing against the tokenizers library, that of the personal stage only in single cases.
 ORACLE_SQL = None
 
 
