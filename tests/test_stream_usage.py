@@ -6,6 +6,7 @@ import json
 from tests.test_sources import assistant, context, meta, spent, user, write
 from usagelens.plans.ingest import load_agent_a, load_agent_b
 from usagelens.sources import agent_b as SB
+from usagelens.sources.tail import LogTailReader
 from usagelens.streaming import usage_stream as RU
 
 COLUMNS = ("timestamp", "source", "account", "device", "session_id", "project_dir", "model", "message_id", "input_tokens", "output_tokens", "cache_read_tokens", "turn_id")
@@ -64,3 +65,25 @@ def test_agent_a(spark, tmp_path):
     got = RU.read_usage_stream(spark, out, "agent_a")
     assert rows(got) == rows(load_agent_a(spark, [(str(logs), "mac")], account="me").usage)
     assert sorted((r.message_id, r.turn_id) for r in got.collect()) == [("m1", "u1"), ("m2", "u1"), ("m3", "u2"), ("m9", "x1")]
+
+
+def test_small_files_share_tasks(tmp_path):
+    """Tasks grow with the bytes, not with the number of files; a large file is still cut, and every line is read once."""
+    want = []
+    for i in range(300):
+        (tmp_path / f"{i:03}.jsonl").write_text(f"{i}-a\n{i}-b\n")
+        want += [f"{i}-a", f"{i}-b"]
+    (tmp_path / "zz.jsonl").write_text("".join(f"long-{i}\n" for i in range(100_000)))
+    want += [f"long-{i}" for i in range(100_000)]
+    reader = LogTailReader({"root": str(tmp_path), "range": str(1 << 18), "tasks": "4"})
+    alone = reader.partitions({}, reader.latestOffset())
+    assert len([p for p in alone if any(r.path.endswith("zz.jsonl") for r in p.ranges)]) == 5
+    reader = LogTailReader({"root": str(tmp_path), "tasks": "4"})
+    end = reader.latestOffset()
+    parts = reader.partitions({}, end)
+    assert 4 <= len(parts) <= 8
+    assert sorted(v for p in parts for v, _, _ in reader.read(p)) == sorted(want)
+    # What one file grew by is one task.
+    with open(tmp_path / "007.jsonl", "a") as f:
+        f.write("more\n")
+    assert [v for p in reader.partitions(end, reader.latestOffset()) for v, _, _ in reader.read(p)] == ["more"]
