@@ -64,8 +64,8 @@ class Pieces:
         self.unknown = model.unk_id()
         # Whether a piece has a blank after another character: then words are not independent.
         self.by_word = not any(BLANK in name.lstrip(BLANK) for name in self.ids)
-        # All beginnings of pieces, with the score of those that are pieces: a search ends where none goes on.
-        self.begins: dict[str, float | None] = dict.fromkeys(name[:n] for name in self.ids for n in range(1, len(name)))
+        # All beginnings of pieces, with the score of those that are pieces (the others never win): a search ends where none goes on.
+        self.begins: dict[str, float] = dict.fromkeys((name[:n] for name in self.ids for n in range(1, len(name))), -np.inf)
         self.begins.update(self.scores)
         # Line ends and tabs that no longer piece holds stand alone as well.
         alone = "".join(c for c in "\n\t\r" if not any(c in name for name in self.ids if len(name) > 1))
@@ -80,33 +80,39 @@ class Pieces:
         """Pieces that begin at a place: (length, score), shortest first."""
         found = []
         for n in range(1, min(self.longest, len(text) - at) + 1):
-            s = self.begins.get(text[at : at + n], False)
-            if s is False:
+            s = self.begins.get(text[at : at + n])
+            if s is None:
                 break
-            if s is not None:
+            if s != -np.inf:
                 found.append((n, s))
         return found if found and found[0][0] == 1 else [(1, self.penalty), *found]
 
     def best(self, text: str) -> list[int]:
         """Ids of the best segmentation of a short text."""
-        size, get, longest = len(text), self.begins.get, self.longest
+        size, get, single, penalty = len(text), self.begins.get, self.scores.get, self.penalty
         score, back = [0.0] + [-np.inf] * size, [0] * (size + 1)
-        for at in range(size):
+        for at, sign in enumerate(text):
             here = score[at]
-            s = here + self.scores.get(text[at], self.penalty)
+            s = here + single(sign, penalty)
             if s > score[at + 1]:
                 score[at + 1], back[at + 1] = s, at
-            for end in range(at + 2, min(size, at + longest) + 1):
-                s = get(text[at:end], False)
-                if s is False:
+            for end in range(at + 2, size + 1):
+                s = get(text[at:end])
+                if s is None:
                     break
-                if s is not None and here + s > score[end]:
+                if here + s > score[end]:
                     score[end], back[end] = here + s, at
-        cuts, at = [], size
-        while at:
-            cuts.append((back[at], at))
-            at = back[at]
-        return [i for a, b in reversed(cuts) for i in self.piece(text[a:b])]
+        out, end, ids = [], size, self.ids.get
+        while end:
+            at = back[end]
+            i = ids(text[at:end])
+            if i is None:
+                out += reversed(self.piece(text[at:end]))
+            else:
+                out.append(i)
+            end = at
+        out.reverse()
+        return out
 
     def piece(self, name: str) -> list[int]:
         if name in self.ids:
