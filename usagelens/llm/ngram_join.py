@@ -21,6 +21,7 @@ share it with a smaller id; repeated rows are equal sets; other columns are igno
 
 from __future__ import annotations
 
+import functools
 import hashlib
 from collections.abc import Iterator
 
@@ -159,20 +160,22 @@ def _linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return partial.groupBy("a", "b", "of_a", "of_b", "n_a", "n_b").agg(F.sum("common").alias("common")).filter("7 * common >= 3 * (n_a + n_b)").select(*pairs.columns)
 
 
-def components(links: DataFrame) -> DataFrame:
-    """(rep, component): the smallest id reachable over links (a, b), for every id that has a link."""
-    edges = cut_lineage(links.select("a", "b").union(links.select("b", "a")).distinct())
-    label = edges.groupBy("a").agg(F.least("a", F.min("b")).alias("c")).withColumnRenamed("a", "v")
-    label = cut_lineage(label)
+def components(links: DataFrame) -> DataFrame | None:
+    """(rep, component): the smallest id reachable over links (a, b), for every id that has a link; None without links."""
+    # Both directions, and each id beside itself: one minimum covers an id and all around it.
+    ends = F.expr("explode(array(struct(a AS v, b AS w), struct(b AS v, a AS w), struct(a AS v, a AS w), struct(b AS v, b AS w)))")
+    edges = cut_lineage(links.select(ends.alias("e")).select("e.*").distinct())
+    if edges.isEmpty():
+        return None
+    label = edges.groupBy("v").agg(F.min("w").alias("c"))
     while True:
-        # The smallest label around each id, then the label of that label.
-        around = edges.join(label.withColumnRenamed("v", "b"), "b").groupBy("a").agg(F.min("c").alias("m")).withColumnRenamed("a", "v")
-        lower = label.join(around, "v").select("v", "c", F.least("c", "m").alias("d"))
-        jump = lower.join(label.select(F.col("v").alias("d"), F.col("c").alias("e")), "d", "left")
-        step = cut_lineage(jump.select("v", "c", F.expr("least(d, coalesce(e, d))").alias("next")))
-        if step.filter("next < c").limit(1).count() == 0:
-            return label.select(F.col("v").alias("rep"), F.col("c").alias("component"))
+        # The smallest label around each id, then the label of that label, which is never larger.
+        near = edges.join(label.withColumnRenamed("v", "w"), "w")
+        around = near.groupBy("v").agg(F.min("c").alias("d"), F.max(F.expr("IF(v = w, c, NULL)")).alias("c"))
+        step = cut_lineage(around.join(label.select(F.col("v").alias("d"), F.col("c").alias("next")), "d").select("v", "c", "next"))
         label = step.select("v", F.col("next").alias("c"))
+        if step.filter("next < c").isEmpty():
+            return label.select(F.col("v").alias("rep"), F.col("c").alias("component"))
 
 
 #: Sizes and places that leave room for the overlap a link needs.
@@ -186,16 +189,10 @@ def _may_link(pairs: DataFrame, maps: DataFrame) -> DataFrame:
     return pairs.join(maps.withColumnRenamed("rep", "a"), "a").join(other, "b").filter(f"7 * ({_DIFFER}) <= n + m").select(*pairs.columns)
 
 
-def _regrouped(grouped: DataFrame | None, found: DataFrame) -> DataFrame:
-    """(rep, component) after new links: they join components, so only one edge per pair of components is
-    followed, whatever the number of links, and links of earlier turns are not followed again."""
-    edges = cut_lineage(found.select(F.least("of_a", "of_b").alias("a"), F.greatest("of_a", "of_b").alias("b")).distinct())
-    of_component = components(edges)
-    if grouped is None:
-        return of_component
-    moved = of_component.select(F.col("rep").alias("component"), F.col("component").alias("to"))
-    old = grouped.join(moved, "component", "left").select("rep", F.coalesce("to", "component").alias("component"))
-    return cut_lineage(old.union(of_component.join(grouped, "rep", "left_anti")))
+def _moved(rows: DataFrame, moves: DataFrame) -> DataFrame:
+    """The rows with `component` after the moves (rep, component) of components."""
+    moves = moves.select(F.col("rep").alias("component"), F.col("component").alias("to"))
+    return rows.join(moves, "component", "left").withColumn("component", F.coalesce("to", "component")).drop("to")
 
 
 def similar_documents(docs: DataFrame) -> DataFrame:
@@ -219,14 +216,15 @@ def similar_documents(docs: DataFrame) -> DataFrame:
     sets = cut_lineage(whole.dropDuplicates(["rep", "fragment"]))
     posted = sets.filter("fragment = 0").select("rep", "n", F.posexplode("prefix").alias("pos", "token"))
     shared_tokens = posted.groupBy("token").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).filter("lo < hi").select("token")
-    posted = cut_lineage(posted.join(shared_tokens, "token", "left_semi"))
+    open_ = cut_lineage(posted.join(shared_tokens, "token", "left_semi").withColumn("component", F.col("rep")))
 
     maps = sets.filter("fragment = 0").select("rep", "n", *[F.col("parity")[i].alias(f"p{i}") for i in range(PARITY)])
 
-    grouped, joined = None, posted.withColumn("component", F.col("rep"))
-    for turn in range(STARS + 1):
-        spread = joined.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("token")
-        open_ = joined.join(spread, "token", "left_semi")
+    # Links of a turn join components, so they are followed as one edge per pair of components, links of earlier
+    # turns not again. A shingle whose classes are in one component stays so: a turn looks at the open ones only.
+    # Leaders only save pairs of the last turn, which is exact, so it follows at once when a turn finds no link.
+    moves, turn = [], 0
+    while turn <= STARS:
         if turn < STARS:
             # One leader for all shingles finds large groups at once; then every shingle has its own.
             draw = F.xxhash64("rep", F.lit(turn)) if turn == 0 else F.xxhash64("rep", "token", F.lit(turn))
@@ -241,8 +239,19 @@ def similar_documents(docs: DataFrame) -> DataFrame:
             near = open_.join(few, "token").filter(f"component != c AND 7 * ({_DIFFER}) <= n + m")
         ends = F.expr("IF(rep < other, struct(rep AS a, other AS b, component AS of_a, c AS of_b), struct(other AS a, rep AS b, c AS of_a, component AS of_b))")
         pairs = near.filter(_ROOM).select(ends.alias("e")).select("e.*").distinct()
-        grouped = _regrouped(grouped, _linked(cut_lineage(pairs if turn == STARS else _may_link(pairs, maps)), sets))
-        joined = posted.join(grouped, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    of_class = classes.join(grouped, "rep", "left").select("set_id", "n", F.coalesce("component", "rep").alias("component_id"))
+        links = _linked(cut_lineage(pairs if turn == STARS else _may_link(pairs, maps)), sets)
+        found = components(links.select(F.col("of_a").alias("a"), F.col("of_b").alias("b")))
+        if found is None:
+            turn = max(turn + 1, STARS)
+            continue
+        moves.append(found)
+        turn += 1
+        if turn <= STARS:
+            now = _moved(open_, found)
+            spread = now.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("token")
+            open_ = cut_lineage(now.join(spread, "token", "left_semi"))
+            if open_.isEmpty():
+                break
+    of_class = functools.reduce(_moved, moves, classes.withColumnRenamed("rep", "component")).withColumnRenamed("component", "component_id")
     out = signed.join(of_class, ["set_id", "n"], "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.expr("CASE WHEN n = 0 THEN doc_id ELSE component_id END").alias("component_id"))
